@@ -12,6 +12,7 @@ from lodestack.llm.exact_dedup import exact_dedup
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
 from lodestack.llm.simhash_dedup import near_dedup
+from lodestack.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,6 +20,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Documents that score this or more are of good quality.
 QUALITY_CUT = 0.3
+#: Documents that score this or more are toxic.
+TOXIC_CUT = 0.7
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +29,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1)
+    scored = score_toxicity(docs, fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
