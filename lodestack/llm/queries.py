@@ -11,6 +11,7 @@ from lodestack.llm.common import fold, read_table
 from lodestack.llm.exact_dedup import exact_dedup
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
+from lodestack.llm.sentencepiece_unigram import decode_documents, encode_documents, load_vocabulary
 from lodestack.llm.simhash_dedup import near_dedup
 from lodestack.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -52,6 +53,21 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_ids of every document, and whether decoding them gives the text back."""
+    vocabulary = load_vocabulary()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode_documents(encode_documents(docs, vocabulary), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "token_ids",
+    )
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
