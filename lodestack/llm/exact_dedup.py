@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import SPACES
 
 
+def normalised(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256, hash128.
 
@@ -24,8 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that repeat both id and text are one document, given the same verdict, and each counts
     in group_size; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
-    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"))
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm"))
     hashed = rows.withColumn("_h", F.unhex(F.md5("_norm")))
 
     texts = hashed.groupBy("_h", "_norm").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
@@ -47,3 +50,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.lower(F.hex("_sha")).alias("text_sha256"),
         F.lower(F.hex("_h")).alias("hash128"),
     )
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with docs' columns: one of each group of equal texts.
+
+    Verdicts are joined by id and hash, so rows that share an id and differ in text are judged apart; of rows that repeat both, one
+    stays. Other cases are as in exact_dedup().
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept"), F.unhex("hash128").alias("_of")).distinct()
+    hashed = docs.withColumn("_h", F.unhex(F.md5(normalised(text_col))))
+    joined = hashed.join(kept, (F.col("_h") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    # ids and hashes are as good as unique here, so no partition of the window is large
+    turn = F.row_number().over(Window.partitionBy("_h", id_col).orderBy("_h"))
+    return joined.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)

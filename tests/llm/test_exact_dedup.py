@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from lodestack.llm.exact_dedup import exact_dedup
+from lodestack.llm.exact_dedup import exact_dedup, kept_rows
 
 SCHEMA = "doc_id long, text string, keep_id string, kept string"
 
@@ -35,3 +35,11 @@ def test_hot_group_nulls_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_kept_rows(spark):
+    rows = [(5, "a b"), (3, "a  b"), (3, "a  b"), (3, "other"), (None, None), (None, ""), (8, "x"), (9, "x")]
+    df = spark.createDataFrame([(i, t, "k", None) for i, t in rows], SCHEMA)
+    out = kept_rows(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id or -1, r.text or "") for r in out.collect())) == [(-1, ""), (3, "a  b"), (3, "other"), (8, "x")]
