@@ -12,6 +12,7 @@ from lodestack.llm.exact_dedup import exact_dedup
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
 from lodestack.llm.sentencepiece_unigram import decode_documents, encode_documents, load_vocabulary
+from lodestack.llm.simhash import document_fingerprints
 from lodestack.llm.simhash_dedup import near_dedup
 from lodestack.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -43,6 +44,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also near_rows: how many other rows are within three bits of those whose doc_id is divisible by 100."""
+    return document_fingerprints(read_table(spark, sf_dir, "documents"), search=F.col("doc_id") % 100 == 0)
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
