@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import fold, read_table
 from lodestack.llm.exact_dedup import exact_dedup
+from lodestack.llm.licenses import TEMPLATES, scan_licenses
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
 from lodestack.llm.sentencepiece_unigram import decode_documents, encode_documents, load_vocabulary
@@ -60,6 +61,12 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_matches", F.round("best_dice", 6).alias("best_dice"))
+
+
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_ids of every document, and whether decoding them gives the text back."""
@@ -102,3 +109,25 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """
+
+_FORMS = ",\n".join("('{}', '{}')".format(name, form.replace("'", "''")) for name, forms in TEMPLATES.items() for form in forms)
+_GRAMS = """CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE list_distinct(w) END"""
+_WORDS = """string_split(trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"""
+ORACLE_SQL["op6_licenses"] = f"""
+WITH forms(license, line) AS (VALUES {_FORMS}
+), f AS (
+    SELECT license, {_GRAMS} AS fg FROM (SELECT license, {_WORDS} AS w FROM forms)
+), spans AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+    UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+), s AS (
+    SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM spans)
+), m AS (
+    SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, fg)) / (len(g) + len(fg)) AS dice
+    FROM s JOIN f ON len(g) BETWEEN len(fg) * 0.6 AND len(fg) * 1.6
+), found AS (
+    SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches, max(dice) AS best FROM m WHERE dice >= 0.8 GROUP BY doc_id
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, round(coalesce(best, 0::DOUBLE), 6) AS best_dice
+FROM documents LEFT JOIN found USING (doc_id)
+"""
