@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import fold, read_table
 from lodestack.llm.exact_dedup import exact_dedup
+from lodestack.llm.html_main_text import main_text
 from lodestack.llm.licenses import TEMPLATES, scan_licenses
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
@@ -82,6 +83,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
