@@ -209,4 +209,8 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") ->
     Null texts score as empty ones; repeated rows score alike; an empty table stays empty. A column `score` that docs
     have is replaced.
     """
-    return docs.withColumn("score", model.score(statistics(docs[text_col])))
+    features = statistics(docs[text_col])
+    names = {k: f"_stat_{len(docs.columns)}_{k}" for k in features}
+    # as columns of their own each is computed once, however many rules use it
+    known = docs.withColumns({names[k]: v for k, v in features.items()})
+    return known.withColumn("score", model.score({k: F.col(v) for k, v in names.items()})).drop(*names.values())
