@@ -13,6 +13,7 @@ from lodestack.llm.html_main_text import main_text
 from lodestack.llm.licenses import TEMPLATES, scan_licenses
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
+from lodestack.llm.quote_linking import reply_order
 from lodestack.llm.sentencepiece_unigram import decode_documents, encode_documents, load_vocabulary
 from lodestack.llm.simhash import document_fingerprints
 from lodestack.llm.simhash_dedup import near_dedup
@@ -57,6 +58,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
@@ -137,3 +143,33 @@ WITH forms(license, line) AS (VALUES {_FORMS}
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, round(coalesce(best, 0::DOUBLE), 6) AS best_dice
 FROM documents LEFT JOIN found USING (doc_id)
 """
+
+_LEVEL = "len(regexp_replace(regexp_extract(line, '^((?:[ \\t]*>)+)', 1), '[^>]', '', 'g'))"
+_BARE = "'(?m)^[^\\n]*(?:wrote|schrieb|écrit|escribió)[ \\t]*:[ \\t]*\\n([ \\t]*>)', '\\1', 'g'"
+ORACLE_SQL["op4_quote_linking"] = f"""
+WITH RECURSIVE m AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS raw, string_split(regexp_replace(coalesce(text, ''), {_BARE}), chr(10)) AS lines FROM conversations
+), l AS (
+    SELECT conv_id, turn, line, {_LEVEL} AS level,
+        lower(trim(regexp_replace(regexp_replace(line, '^((?:[ \\t]*>)+)', ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS norm
+    FROM (SELECT conv_id, turn, unnest(lines) AS line FROM m)
+), found AS (
+    SELECT q.conv_id, q.turn, q.level, (SELECT max(o.turn) FROM l o WHERE o.conv_id = q.conv_id AND o.level = 0 AND o.norm = q.norm AND o.turn < q.turn) AS parent
+    FROM l q WHERE q.level > 0 AND q.norm != ''
+), votes AS (
+    SELECT conv_id, turn, level, parent, count(*) AS lines FROM found WHERE parent IS NOT NULL GROUP BY ALL
+), best AS (
+    SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, lines DESC, parent DESC) = 1
+), t AS (
+    SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m)
+), r AS (
+    SELECT t.conv_id, t.turn, coalesce(parent, previous) AS reply_to, parent IS NOT NULL AS linked, coalesce(lines, 0) AS quoted_lines FROM t LEFT JOIN best USING (conv_id, turn)
+), tree AS (
+    SELECT conv_id, turn, turn AS root, 0 AS depth FROM r WHERE reply_to IS NULL
+    UNION ALL SELECT r.conv_id, r.turn, tree.root, tree.depth + 1 FROM tree JOIN r ON r.conv_id = tree.conv_id AND r.reply_to = tree.turn
+)
+SELECT m.conv_id, m.turn, role,
+    regexp_replace(array_to_string(list_filter(lines, lambda line: {_LEVEL} = 0), chr(10)), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS text,
+    reply_to, linked, quoted_lines, root, depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY root, m.turn, role, raw) AS position
+FROM m JOIN r USING (conv_id, turn) JOIN tree USING (conv_id, turn)
+"""
