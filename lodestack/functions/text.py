@@ -144,13 +144,20 @@ MERGE_PROMPT = (
 DEFAULT_QUESTION = "Describe what the image shows and which of it is uncertain."
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def human_bytes(size: Column) -> Column:
     """Bytes in B, KB, MB, GB or TB with one decimal."""
-    value, out = size.cast("double"), None
-    for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        shown = F.concat(fixed(value / float(1024**k), 1), F.lit(f" {unit}"))
-        out = F.when(value < float(1024 ** (k + 1)), shown) if out is None else out.when(value < float(1024 ** (k + 1)), shown)
-    return out.otherwise(F.concat(fixed(value / float(1024**4), 1), F.lit(" TB")))
+    units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB")))
+
+    def shown(value: Column) -> Column:
+        power = sum(((value >= float(1024**k)).cast("int") for k in range(2, 5)), (value >= 1024.0).cast("int"))
+        return F.concat(fixed(value / F.pow(F.lit(1024.0), power), 1), F.lit(" "), F.get(units, power))
+
+    return bound(size.cast("double"), shown)
 
 
 def scaled_exactly(x: Column, digits: int) -> Column:
@@ -159,15 +166,17 @@ def scaled_exactly(x: Column, digits: int) -> Column:
     The product's own rounding error is recovered by splitting x in two halves of its bits, so no decimal string is made.
     """
     scale = float(10**digits)
-    big = x * F.lit(134217729.0)
-    high = big - (big - x)
-    low = x - high
-    product = x * scale
-    error = (high * scale - product) + low * scale
-    whole = F.floor(product)
-    rest = (product - whole - 0.5) + error
-    up = (rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2)) == 1))
-    return F.when(up, whole + 1).otherwise(whole).cast("bigint")
+
+    def nearest(v: Column) -> Column:
+        big = v * F.lit(134217729.0)
+        high = big - (big - v)
+        product = v * scale
+        error = (high * scale - product) + (v - high) * scale
+        whole = F.floor(product)
+        rest = (product - whole - 0.5) + error
+        return whole + F.when((rest > 0) | ((rest == 0) & (F.pmod(whole, F.lit(2)) == 1)), F.lit(1)).otherwise(F.lit(0))
+
+    return bound(x.cast("double"), nearest).cast("bigint")
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -177,11 +186,15 @@ def rounded(x: Column, digits: int) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """x with so many decimals, as Python's '%.nf'."""
-    n = scaled_exactly(F.abs(x), digits)
-    whole = F.floor(n / F.lit(float(10**digits))).cast("bigint")
-    part = F.lpad((n - whole * F.lit(10**digits)).cast("string"), digits, "0")
-    text = F.concat(whole.cast("string"), F.lit("."), part)
-    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    ten = 10**digits
+
+    def shown(v: Column) -> Column:
+        return bound(
+            scaled_exactly(F.abs(v), digits),
+            lambda n: F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / F.lit(float(ten))).cast("string"), F.lit("."), F.lpad((n % ten).cast("string"), digits, "0")),
+        )
+
+    return bound(x.cast("double"), shown)
 
 
 def data_url(content: Column, mime: str = "image/png") -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import bound
+
 #: Label of positions without supervision; smoothing of the overlap loss; tokens of the visual prefix.
 IGNORED, SMOOTHING, PREFIX_TOKENS = -100, 1e-6, 8
 POSITIVE_WEIGHT, GAMMA = 20.0, 2.0
@@ -77,10 +79,8 @@ def composite_loss(language: Column, focal: Column, dice: Column, present: Colum
 
 def softmax(values: Column) -> Column:
     """Of an array, its largest value taken off first."""
-    top = F.array_max(values)
-    raised = F.transform(values, lambda v: F.exp(v.cast("double") - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(raised, lambda v: v / total)
+    raised = bound(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v.cast("double") - top)))
+    return bound(raised, lambda r: bound(F.aggregate(r, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(r, lambda v: v / total)))
 
 
 def argmax(values: Column) -> Column:

@@ -87,7 +87,7 @@ def label_of_image(image: Column) -> Column:
     back = F.array_position(F.reverse(parts), F.lit("images"))
     at = F.size(parts) - back + 1
     moved = F.concat(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(F.lit("labels")), F.slice(parts, at + 1, F.size(parts)))
-    return F.when(back > 0, F.regexp_replace(F.array_join(moved, "/"), r"(?<=[^./])\.[^./]+$|$", ".txt"))
+    return F.when(back > 0, F.concat(F.regexp_replace(F.array_join(moved, "/"), r"(?<=[^./])\.[^./]+$", ""), F.lit(".txt")))
 
 
 def label_path(root: Column, split: Column, image: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import rounded, strip
+from lodestack.functions.text import bound, fixed, rounded, strip
 
 GRID = 32
 #: Keeps the slope of a level edge finite.
@@ -21,13 +21,14 @@ def on_grid(value: Column, extent: Column | float, size: int = GRID) -> Column:
 
 def points_of_label(line: Column, size: int = GRID) -> Column:
     """Grid points of a label line `class x1 y1 x2 y2 ...`; null for fewer than three points. An odd last number is left out."""
-    parts = F.split(strip(line), r"\s+")
-    pairs = F.floor((F.size(parts) - 1) / 2).cast("int")
 
-    def point(k: Column) -> Column:
-        return F.struct(*(on_grid(F.get(parts, 2 * k + at).cast("double"), 1.0, size).alias(n) for at, n in ((1, "x"), (2, "y"))))
+    def points(parts: Column) -> Column:
+        def point(k: Column) -> Column:
+            return F.struct(*(on_grid(F.get(parts, 2 * k + at).cast("double"), 1.0, size).alias(n) for at, n in ((1, "x"), (2, "y"))))
 
-    return F.when(F.size(parts) >= 7, F.transform(F.sequence(F.lit(0), pairs - 1), point))
+        return F.when(F.size(parts) >= 7, F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int") - 1), point))
+
+    return bound(F.split(strip(line), r"\s+"), points)
 
 
 def points_of_polygon(polygon: Column, width: Column, height: Column, size: int = GRID) -> Column:
@@ -49,14 +50,18 @@ def contains(points: Column, x: Column, y: Column) -> Column:
 
 
 def polygon_cells(points: Column) -> Column:
-    """Cells inside an outline, as array<struct<y, x>>; only its bounding box is searched."""
+    """Cells whose centre is inside an outline, as array<struct<y, x>>; only its bounding box is searched."""
+
 
-    def span(axis: str) -> Column:
-        values = F.transform(points, lambda p: p[axis])
-        return F.sequence(F.array_min(values), F.array_max(values))
+    def cells(own: Column) -> Column:
+        def span(axis: str) -> Column:
+            values = F.transform(own, lambda p: p[axis])
+            return F.sequence(F.array_min(values), F.array_max(values))
 
-    grid = F.flatten(F.transform(span("y"), lambda y: F.transform(span("x"), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    return F.filter(grid, lambda c: contains(points, c["x"].cast("double"), c["y"].cast("double")))
+        grid = F.flatten(F.transform(span("y"), lambda y: F.transform(span("x"), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+        return F.filter(grid, lambda c: contains(own, c["x"] + 0.5, c["y"] + 0.5))
+
+    return bound(points, cells)
 
 
 def box_cells(box: Column, width: Column, height: Column, size: int = GRID) -> Column:
@@ -83,7 +88,7 @@ def detection_cells(detections: Column, width: Column, height: Column, size: int
 def mask(cells: Column, size: int = GRID) -> Column:
     """size * size numbers, 1 where a cell is set, row by row."""
     at = F.transform(cells, lambda c: c["y"] * size + c["x"])
-    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.array_contains(at, k).cast("float"))
+    return bound(at, lambda own: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.array_contains(own, k).cast("float")))
 
 
 def coverage(cells: Column, size: int = GRID) -> Column:
@@ -99,8 +104,6 @@ def sampled_outline(polygon: Column, most: int = OUTLINE_POINTS) -> Column:
 
 def normalized_label(points: Column, width: Column, height: Column) -> Column:
     """A label line of an outline in pixels: class 0 and coordinates clamped to 0..1 with six decimals."""
-    from lodestack.functions.text import fixed
-
     def clamp(v: Column, extent: Column) -> Column:
         return fixed(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / extent)), 6)
 
