@@ -14,7 +14,7 @@ from lodestack.llm.licenses import TEMPLATES, scan_licenses
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
 from lodestack.llm.quote_linking import reply_order
-from lodestack.llm.sentencepiece_unigram import decode_documents, encode_documents, load_vocabulary
+from lodestack.llm.sentencepiece_unigram import encode_documents, load_vocabulary
 from lodestack.llm.simhash import document_fingerprints
 from lodestack.llm.simhash_dedup import near_dedup
 from lodestack.llm.toxicity import fit_toxicity, score_toxicity
@@ -77,16 +77,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token_ids of every document, and whether decoding them gives the text back."""
-    vocabulary = load_vocabulary()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs, vocabulary), vocabulary)
-    return coded.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        "token_ids",
-    )
+    coded = encode_documents(docs, load_vocabulary(), check=True)
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "decoded_sha256", "token_ids")
 
 
 @query

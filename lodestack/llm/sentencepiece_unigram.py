@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -22,7 +23,7 @@ UNKNOWN_PENALTY = 10.0
 #: Longer units go through the walk of one unit at a time; the others through arrays, all at once.
 LONG_UNIT = 64
 #: Encoded units that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -273,16 +274,20 @@ class Encoder:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", into: str = "token_ids") -> DataFrame:
-    """docs with a column `into`: the ids of each whole text. No shuffle.
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", into: str = "token_ids", check: bool = False) -> DataFrame:
+    """docs with a column `into`: the ids of each whole text; with check also `round_trip`, whether the decoded ids are the text, and `decoded_sha256`. No shuffle.
+
+    Checking happens where the ids are made, so neither they nor the decoded texts travel for it.
 
     Null and empty texts have no ids; repeated rows are encoded alike; texts of any length are encoded whole; an empty
-    table stays empty. A column `into` that docs have is replaced; other columns pass through.
+    table stays empty. A column of these names that docs have is replaced; other columns pass through.
     """
-    rest = docs.drop(into)
+    added = [into, *(["round_trip", "decoded_sha256"] if check else [])]
+    rest = docs.drop(*added)
     schema = rest.withColumn(into, F.array(F.lit(0))).schema
+    if check:
+        schema = schema.add("round_trip", "boolean").add("decoded_sha256", "string")
     names, place = rest.columns, rest.columns.index(text_col)
-
     encoder = Encoder(vocabulary)
     assert encoder.trie  # built here once and sent along: about 2 MB, however long the table
 
@@ -292,10 +297,14 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
             for part in runs_of_texts(batch.column(place).to_pylist()):
                 ids = encoder.encode(part)
                 ends = np.cumsum([0, *map(len, ids)])
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))]
+                if check:
+                    decoded = [encoder.decode(x) for x in ids]
+                    columns.append(pa.array([d == t for d, t in zip(decoded, part)]))
+                    columns.append(pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]))
                 own = batch.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([*own.columns, column], [*names, into])
+                yield pa.RecordBatch.from_arrays([*own.columns, *columns], [*names, *added])
 
     return rest.mapInArrow(of, schema)
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 
@@ -118,6 +119,9 @@ def test_exact_round_trip(spark, vocabulary):
     assert len(got) == len(texts) + 2
     assert all(r.decoded == (r.text or "") for r in got)
     assert all((len(r.token_ids) == 0) == (not r.text) for r in got)
+    checked = op.encode_documents(df, vocabulary, check=True).collect()
+    assert all(r.round_trip and r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in checked)
+    assert sorted(r.token_ids for r in checked) == sorted(r.token_ids for r in got)
 
 
 def test_empty_table_and_pieces_with_inner_markers(spark, vocabulary):
