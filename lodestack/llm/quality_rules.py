@@ -13,13 +13,27 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import SPACES, WORD
 
 #: Labelled rows to learn from at most, the first in an order by hash.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
+#: Rules at most; the penalty rises until no more are left. So few are compiled to machine code in one piece.
+MOST_RULES = 32
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text as column expressions; of an empty text all are 0."""
+def with_statistics(docs: DataFrame, text_col: str, into: str) -> DataFrame:
+    """docs with a struct `into` of statistics(), computed once for each row.
+
+    Words are counted in a projection of their own, as six statistics use the count; a generator of one row
+    then makes the struct, so that no rule or filter on it computes a statistic again.
+    """
+    words = f"{into}_words"
+    counted = docs.withColumn(words, F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(WORD)))
+    struct = F.struct(*(v.alias(k) for k, v in statistics(F.col(text_col), F.col(words)).items()))
+    return counted.select("*", F.explode(F.array(struct)).alias(into)).drop(words)
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a whole text with so many words, as column expressions; of an empty text all are 0."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    words, chars = F.regexp_count(text, F.lit(WORD)), F.length(text)
+    chars = F.length(text)
     lines = F.split(text, "\n")
 
     def rate(n: Column, of: Column) -> Column:
@@ -42,6 +56,9 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+NAMES = ("log_words", "word_length", "distinct_words", "distinct_lines", "upper_case", "digits", "symbols", "bars", "exclamations", "stops")
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
@@ -118,19 +135,20 @@ def _tree(codes: np.ndarray, bins: Sequence[int], grad: np.ndarray, hess: np.nda
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression with an L1 penalty, by accelerated proximal gradient; columns of z lie in 0..1."""
     n, m = z.shape
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b = np.zeros(m), math.log(rate / (1 - rate))
+    z, y = z.astype(np.float32, copy=False), y.astype(np.float32, copy=False)  # all in one type, so that no product copies z
+    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    w, b = np.zeros(m, np.float32), math.log(rate / (1 - rate))
     vw, vb, t = w.copy(), b, 1.0
-    probe = np.ones(m)
+    probe = np.ones(m, np.float32)
     for _ in range(20):
         probe = z.T @ (z @ probe) / n
         probe /= np.linalg.norm(probe) or 1
-    lip = 0.25 * (np.linalg.norm(z @ probe) ** 2 / n + 1.0) + 1e-9
+    lip = 0.25 * (float(np.linalg.norm(z @ probe)) ** 2 / n + 1.0) + 1e-9
     for _ in range(rounds):
         error = 1 / (1 + np.exp(-(z @ vw + vb))) - y
         nw = vw - z.T @ error / n / lip
         nw = np.sign(nw) * np.maximum(np.abs(nw) - penalty / lip, 0)
-        nb = vb - error.mean() / lip
+        nb = vb - float(error.mean()) / lip
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
@@ -138,7 +156,7 @@ def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: Sequence[str], trees: int = 40, depth: int = 3, penalty: float = 5e-4, seed: int = 42) -> RuleModel:
-    """Boosted trees on half the rows each; their paths as rules; lasso weights; zero weights are dropped.
+    """Boosted trees on half the rows each; their paths as rules; lasso weights, MOST_RULES at most; zero weights are dropped.
 
     With no rows the score is 0.5; with one class it is that class's smoothed rate.
     """
@@ -173,11 +191,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: Sequence[str], trees: int = 4
     if not kept:
         return flat
     z = np.stack([holds(path) for path in kept], axis=1).astype(np.float32)
-    w, b = _lasso(z, y.astype(np.float32), penalty)
+    w, b = _lasso(z, y, penalty)
+    while (np.abs(w) > 1e-3).sum() > MOST_RULES:
+        penalty *= 1.5
+        w, b = _lasso(z, y, penalty)
     rules = [
         Rule(tuple(Condition(names[f], above, float(cuts[f][k])) for f, k, above in path), float(v))
         for path, v in zip(kept, w)
-        if abs(v) > 1e-6
+        if abs(v) > 1e-3
     ]
     return RuleModel(b, tuple(rules))
 
@@ -195,12 +216,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample_rows)
     )
-    features = statistics(F.col("_text"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     # at most sample_rows ids of a few bytes are broadcast
-    sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "_y", *(v.alias(k) for k, v in features.items()))
-    got = sample.toPandas().sort_values(["_id", *features], kind="stable")
-    return fit_rules(got[[*features]].to_numpy(float), got["_y"].to_numpy(int), [*features])
+    sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id"))
+    known = with_statistics(sample, "_text", "_stats").select("_id", "_y", "_stats.*")
+    got = known.toPandas().sort_values(["_id", *NAMES], kind="stable")
+    return fit_rules(got[[*NAMES]].to_numpy(float), got["_y"].to_numpy(int), NAMES)
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
@@ -209,8 +230,6 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") ->
     Null texts score as empty ones; repeated rows score alike; an empty table stays empty. A column `score` that docs
     have is replaced.
     """
-    features = statistics(docs[text_col])
-    names = {k: f"_stat_{len(docs.columns)}_{k}" for k in features}
-    # as columns of their own each is computed once, however many rules use it
-    known = docs.withColumns({names[k]: v for k, v in features.items()})
-    return known.withColumn("score", model.score({k: F.col(v) for k, v in names.items()})).drop(*names.values())
+    held = f"_stats_{len(docs.columns)}"
+    known = with_statistics(docs, text_col, held)
+    return known.withColumn("score", model.score({k: F.col(held)[k] for k in NAMES})).drop(held)
