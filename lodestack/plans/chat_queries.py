@@ -72,7 +72,7 @@ def q12_first_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q30_batch_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points as token ids: twelve of prompt, the rest answer, 24 in all at most, in ten batches."""
-    ids = F.transform(F.filter(F.split(F.substring("text", 1, 40), ""), lambda c: c != ""), _code)
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), _code)
     c = table(spark, sf_dir, "conversations").filter("text != ''").select("conv_id", "turn", (F.col("conv_id") % 10).alias("batch"), ids.alias("all"))
     c = c.filter(F.size("all") > 12).select("conv_id", "turn", "batch", F.slice("all", 1, 12).alias("prompt_ids"), F.slice(F.col("all"), F.lit(13), F.size("all")).alias("answer_ids"))
     out = L.padded(L.token_rows(c, most=24).filter("error is null"))

@@ -50,3 +50,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["q33_success_limit"](spark, DATA))
     assert "PushedFilters: [" in text and "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in text
     assert plan(QUERIES["q02_verified_rows"](spark, DATA)).count("Exchange hashpartitioning") == 1
+
+
+def test_batches_are_made_of_whole_texts(spark, monkeypatch):
+    from lodestack.operators import learning
+
+    seen, rows_of = [], learning.token_rows
+    monkeypatch.setattr(learning, "token_rows", lambda rows, **k: seen.append(rows) or rows_of(rows, **k))
+    QUERIES["q30_batch_pad"](spark, DATA)
+    whole = spark.read.parquet(f"{DATA}/conversations.parquet")
+    got = {(r.conv_id, r.turn): "".join(map(chr, [*r.prompt_ids, *r.answer_ids])) for r in seen[0].collect()}
+    want = {(r.conv_id, r.turn): r.text for r in whole.collect() if len(r.text or "") > 12}
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()} and got == want
