@@ -202,11 +202,21 @@ def data_url(content: Column, mime: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), "[\\r\\n]", ""))
 
 
-def chosen_decoding(candidates: Column) -> Column:
-    """The first candidate that is not blank and not the unknown token, without leading unknown tokens and what precedes its last `Answer:`."""
-    cleaned = F.transform(candidates, lambda t: strip(F.regexp_replace(strip(t), r"^(<unk>\s*)+", "")))
+#: Token ids shown of a reply that decodes to nothing, at most.
+SHOWN_IDS = 64
+
+
+def chosen_decoding(candidates: Column, ids: Column | None = None, unknown: str = "<unk>") -> Column:
+    """The first candidate with text, one leading unknown token taken off, from behind its last `Answer:`; if nothing is left and ids are given, a note with the last candidate and the ids."""
+    cleaned = F.transform(candidates, lambda t: bound(strip(t), lambda s: F.when(s.startswith(unknown), strip(F.substring(s, F.lit(len(unknown) + 1), F.length(s)))).otherwise(s)))
     good = F.filter(cleaned, lambda t: t != "")
-    return strip(F.substring_index(F.coalesce(F.get(good, F.lit(0)), F.lit("")), "Answer:", -1))
+    text = strip(F.substring_index(F.coalesce(F.get(good, F.lit(0)), F.lit("")), "Answer:", -1))
+    if ids is None:
+        return text
+    raw = F.coalesce(strip(F.try_element_at(candidates, F.lit(-1))), F.lit(""))
+    shown = F.array_join(F.transform(F.slice(ids, 1, SHOWN_IDS), lambda i: i.cast("string")), ", ")
+    note = F.concat(F.lit("[empty decoded output] raw='"), raw, F.lit("' token_ids=["), shown, F.lit("]"))
+    return bound(text, lambda t: F.when(t != "", t).otherwise(note))
 
 
 # --- paths

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import bound
+
 #: Percentiles of the robust range, the least span, and the largest sides for requests and for training.
 LOW, HIGH, LEAST_SPAN = 0.01, 0.99, 1e-6
 REQUEST_SIDE, TRAINING_SIDE = 1280, 512
@@ -70,12 +72,36 @@ def training_size(width: Column, height: Column, most: int | None = TRAINING_SID
     return F.struct(*(side(v).cast("bigint").alias(n) for v, n in ((width, "width"), (height, "height"))))
 
 
+def grey(probability: Column) -> Column:
+    """A probability as a grey value 0 to 255, decimals cut."""
+    return F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), probability.cast("double"))) * 255.0).cast("int")
+
+
 def overlaid(pixel: Column, probability: Column, color: Column, alpha: float = ALPHA, threshold: float = THRESHOLD) -> Column:
-    """A pixel channel under an overlay: blended by probability, and stressed above the threshold."""
-    strength = F.least(F.lit(1.0), F.greatest(F.lit(0.0), probability)) * alpha
-    blended = pixel * (F.lit(1.0) - strength) + color * strength
-    stressed = F.when(probability >= threshold, blended * 0.35 + color * 0.65).otherwise(blended)
-    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), stressed))).cast("int")
+    """A pixel channel under an overlay: blended by the mask's grey value; from the threshold on, 0.65 of that and 0.35 of the colour."""
+
+    def shown(mask: Column) -> Column:
+        strength = mask * alpha
+        blended = pixel * (F.lit(1.0) - strength) + color * strength
+        stressed = F.when(mask >= threshold, blended * 0.65 + color * 0.35).otherwise(blended)
+        return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), stressed))).cast("int")
+
+    return bound(grey(probability) / F.lit(255.0), shown)
+
+
+def section_bytes(values: Column) -> Column:
+    """An array's finite values scaled to 0..255 over their robust range, as scaled_volume() does for pixel rows; no shuffle, as a section is one row."""
+
+    def scaled(own: Column) -> Column:
+        def quantile(p: float) -> Column:
+            at = (F.size(own) - 1) * F.lit(p)
+            low, high = F.get(own, F.floor(at).cast("int")), F.get(own, F.ceil(at).cast("int"))
+            return low + (high - low) * (at - F.floor(at))
+
+        span = F.struct(quantile(LOW).alias("low"), quantile(HIGH).alias("high"))
+        return bound(span, lambda r: F.transform(values, lambda v: F.when(r["high"] <= r["low"], F.lit(0)).otherwise(_bytes(v.cast("double"), r["low"], r["high"] - r["low"]))))
+
+    return bound(F.array_sort(F.filter(F.transform(values, finite), lambda v: v.isNotNull())), scaled)
 
 
 def bilinear(grid: np.ndarray, size: int) -> np.ndarray:
@@ -107,7 +133,7 @@ def upsampled(tokens: Column, size: int = 32) -> Column:
 
 def token_dropout(tokens: DataFrame, row: str, position: str, drop_rate: float = 0.75, seed: int = 42) -> DataFrame:
     """Tokens kept with probability 1 - drop_rate by a hash of row and position, one at least of each row: that with the smallest hash."""
-    share = F.pmod(F.xxhash64(F.lit(seed), row, position), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), row, position)), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     keep = max(1e-4, 1.0 - drop_rate)
     least = tokens.groupBy(row).agg(F.min(F.struct(share.alias("s"), F.col(position).alias("p"))).alias("_least"))
     joined = tokens.join(least, row)

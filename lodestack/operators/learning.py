@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import bound
 
 #: Label of positions without supervision; smoothing of the overlap loss; tokens of the visual prefix.
 IGNORED, SMOOTHING, PREFIX_TOKENS = -100, 1e-6, 8
-POSITIVE_WEIGHT, GAMMA = 20.0, 2.0
+POSITIVE_WEIGHT, GAMMA, LEAST_DOUBT = 20.0, 2.0, 1e-6
 
 
 def token_rows(rows: DataFrame, prompt: str = "prompt_ids", answer: str = "answer_ids", most: int = 2048) -> DataFrame:
@@ -29,10 +29,11 @@ def token_rows(rows: DataFrame, prompt: str = "prompt_ids", answer: str = "answe
 
 def padded(batches: DataFrame, batch: str = "batch", pad: int = 0) -> DataFrame:
     """ids, labels and mask of each batch padded to its longest row."""
-    most = F.max(F.size("ids")).over(Window.partitionBy(batch))
+    # lengths alone are aggregated, so the rows of a batch never meet in one task
+    longest = batches.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size("ids")).alias("_most"))
     more = F.col("_most") - F.size("ids")
     filled = {c: F.concat(F.col(c), F.array_repeat(F.lit(v), more)) for c, v in (("labels", IGNORED), ("mask", 0), ("ids", pad))}
-    return batches.withColumn("_most", most).select(*(filled[c].alias(c) if c in filled else c for c in batches.columns))
+    return batches.join(longest, F.col(batch) == F.col("_batch")).select(*(filled[c].alias(c) if c in filled else F.col(c) for c in batches.columns))
 
 
 def with_prefix(rows: DataFrame, tokens: int = PREFIX_TOKENS) -> DataFrame:
@@ -57,13 +58,14 @@ def cross_entropy(logit: Column, target: Column) -> Column:
 
 
 def focal_loss(logit: Column, target: Column, positive_weight: float = POSITIVE_WEIGHT, gamma: float = GAMMA) -> Column:
-    """Cross entropy weighed by class, and less where the model is sure already; gamma 0 leaves that out."""
-    loss = cross_entropy(logit, target)
+    """Cross entropy weighed by class, and less where the model is sure already; gamma 0 leaves that out. A target over 0.5 is of the positive class."""
+    loss, positive = cross_entropy(logit, target), target > 0.5
+    loss = F.when(positive, loss * positive_weight).otherwise(loss)
     if gamma > 0:
         p = sigmoid(logit)
-        right = p * target + (F.lit(1.0) - p) * (F.lit(1.0) - target)
-        loss = loss * F.pow(F.lit(1.0) - right, F.lit(gamma))
-    return loss * (F.lit(1.0) + (positive_weight - 1.0) * target)
+        right = F.when(positive, p).otherwise(F.lit(1.0) - p)
+        loss = loss * F.pow(F.greatest(F.lit(1.0) - right, F.lit(LEAST_DOUBT)), F.lit(gamma))
+    return loss
 
 
 def dice_loss(cells: DataFrame, sample: str, logit: str, target: str) -> DataFrame:
@@ -73,8 +75,18 @@ def dice_loss(cells: DataFrame, sample: str, logit: str, target: str) -> DataFra
     return sums.select(sample, (1.0 - (2.0 * F.col("both") + SMOOTHING) / (F.col("p") + F.col("t") + SMOOTHING)).alias("dice_loss"))
 
 
+def supervised_losses(samples: DataFrame, valid: str, by: str | None = None) -> DataFrame:
+    """Means of focal, dice and presence loss over the samples whose mask counts (valid above 0.5), and their number; per `by`, or one row. No such sample: null losses, 0."""
+    counts = F.col(valid) > 0.5
+    means = [F.avg(F.when(counts, F.col(c))).alias(c) for c in ("focal_loss", "dice_loss", "presence_loss")]
+    grouped = samples.groupBy(by) if by else samples.groupBy()
+    return grouped.agg(*means, F.count_if(counts).alias("supervised"))
+
+
 def composite_loss(language: Column, focal: Column, dice: Column, present: Column, overlay_weight: float = 0.25, presence_weight: float = 0.10) -> Column:
-    return language + overlay_weight * (focal + dice) + presence_weight * present
+    """The language loss, with the mask's losses where there are any."""
+    more = overlay_weight * (focal + dice) + presence_weight * present
+    return language + F.coalesce(more, F.lit(0.0))
 
 
 def softmax(values: Column) -> Column:
@@ -88,6 +100,21 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def class_name(place: Column, names: Sequence[str]) -> Column:
+    """The name of a class, or LABEL_i where it has none."""
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), place), F.concat(F.lit("LABEL_"), place.cast("string")))
+
+
+def without_special(ids: Column, special: Sequence[int]) -> Column:
+    return F.filter(ids, lambda i: ~i.isin(*special))
+
+
+def token_variants(ids: Column, special: Sequence[int]) -> Column:
+    """The ids to decode, in order of preference: as they are, and without special tokens where that leaves some and changes them."""
+    own = without_special(ids, special)
+    return F.when((F.size(own) > 0) & (F.size(own) < F.size(ids)), F.array(ids, own)).otherwise(F.array(ids))
+
+
 def masked_mean(vectors: DataFrame, by: Sequence[str], vector: str, mask: str) -> DataFrame:
     """(by, dim, mean) of vectors whose mask counts, divided by the mask's sum, 1 at least."""
     cells = vectors.select(*by, F.col(mask).cast("double").alias("_m"), F.posexplode(vector).alias("dim", "_v"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import file_name, stem, suffix
+from lodestack.operators.records import LABEL_FIELDS
 
 #: Suffixes of images and volumes.
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".npy")
@@ -63,8 +65,8 @@ def without(wanted: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFra
     return wanted.join(present.select(*on), list(on), "left_anti")
 
 
-def first_existing(rows: DataFrame, candidates: Sequence[Column], listing: DataFrame, into: str, path: str = "path") -> DataFrame:
-    """rows with `into`: the first of candidate paths that the listing has, or null.
+def first_existing(rows: DataFrame, candidates: Sequence[Column], listing: DataFrame, into: str, path: str = "path", or_first: bool = False) -> DataFrame:
+    """rows with `into`: the first of candidate paths that the listing has, or null; with or_first, else the first that is not null.
 
     Candidates become rows with their rank and meet the listing by an equality, so its size does not matter; ranks are then reduced per row
     by an aggregation that combines before it shuffles. rows need a unique column `row_id`.
@@ -72,7 +74,8 @@ def first_existing(rows: DataFrame, candidates: Sequence[Column], listing: DataF
     ranked = rows.select("row_id", F.posexplode(F.array(*candidates)).alias("_rank", "_path")).filter("_path is not null and _path != ''")
     there = listing.select(F.col(path).alias("_path")).distinct()
     found = ranked.join(there, "_path", "left_semi").groupBy("row_id").agg(F.min_by("_path", "_rank").alias(into))
-    return rows.join(found, "row_id", "left")
+    joined = rows.join(found, "row_id", "left")
+    return joined.withColumn(into, F.coalesce(F.col(into), *candidates)) if or_first else joined
 
 
 def sibling(image: Column, path: Column) -> Column:
@@ -81,6 +84,21 @@ def sibling(image: Column, path: Column) -> Column:
     return F.when(path.startswith("/") | (folder == ""), path).otherwise(F.concat(folder, F.lit("/"), path))
 
 
+def beside_dataset(dataset: Column, path: Column) -> Column:
+    """path relative to the folder that holds the dataset's folder; the second candidate after path itself."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(dataset, "/?[^/]*/*$", ""), F.lit("/"), path))
+
+
+def real_labels(rows: DataFrame, listing: DataFrame, image: str = "image", fields: Sequence[str] = LABEL_FIELDS, into: str = "label_path") -> DataFrame:
+    """rows with the label file of each record: the first of its label fields that names a listed file, as given or beside the image, else the file derived from the image's path.
+
+    rows need a unique column row_id.
+    """
+    own = [F.nullif(F.col(f), F.lit("")) for f in fields if f in rows.columns]
+    candidates = [c for f in own for c in (f, sibling(F.col(image), f))] + [label_of_image(F.col(image))]
+    return first_existing(rows, candidates, listing, into)
+
+
 def label_of_image(image: Column) -> Column:
     """The label file of an image: its last folder `images` becomes `labels`, its suffix .txt; null without such a folder."""
     parts = F.split(image, "/")
@@ -116,6 +134,32 @@ def repository_files(catalog: DataFrame) -> DataFrame:
     )
 
 
+#: The archives of the image dataset, one for each split.
+ARCHIVES = ("train.tar.gz", "validation.tar.gz", "test.tar.gz")
+
+
+def selected_archives(files: DataFrame, splits: Sequence[str] = ("all",), name: str = "name") -> DataFrame:
+    """The dataset's archives of the wanted splits; `all` among them wants every one."""
+    wanted = [a for a in ARCHIVES if "all" in splits or a.removesuffix(".tar.gz") in splits]
+    return files.filter(F.col(name).isin(*wanted))
+
+
+def folders_with(listing: DataFrame, names: Sequence[str], path: str = "path", every: bool = False) -> DataFrame:
+    """(folder, complete): whether a folder holds any of the files, or with `every` all; names may lie deeper (adapter/model.bin). One aggregation of a few flags."""
+    found = [F.col(path).endswith("/" + n) for n in names]
+    folder = F.coalesce(*(F.when(hit, F.regexp_replace(path, "/" + re.escape(n) + "$", "")) for n, hit in zip(names, found)), F.regexp_replace(path, "/[^/]*$", ""))
+    flags = [F.bool_or(hit).alias(f"_{k}") for k, hit in enumerate(found)]
+    joined = " and " if every else " or "
+    return listing.groupBy(folder.alias("folder")).agg(*flags).select("folder", F.expr(joined.join(f"_{k}" for k in range(len(names)))).alias("complete"))
+
+
+def rows_per_split(rows: DataFrame, splits: Sequence[str], split: str = "split") -> DataFrame:
+    """(split, n) for each wanted split, 0 where it has no rows; one aggregation with a counter for each."""
+    counts = rows.agg(*(F.count_if(F.col(split) == s).alias(s) for s in splits))
+    named = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(s).alias("n")) for s in splits)))
+    return counts.select(named.alias("c")).select("c.split", "c.n")
+
+
 def weights_complete(index: DataFrame | None, listing: DataFrame) -> DataFrame:
     """One row, `complete`: every file of the index (columns weight_map) is listed, and it names some; without an index any weight file will do."""
     if index is None:

@@ -37,29 +37,38 @@ def points_of_polygon(polygon: Column, width: Column, height: Column, size: int
     return F.when(F.size(polygon) >= 3, moved)
 
 
-def contains(points: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule: whether a ray from (x, y) crosses the outline an odd number of times."""
-    n = F.size(points)
+def crossings(points: Column, y: Column) -> Column:
+    """Where the edges of an outline cross the level y, as an array of x."""
 
-    def crossed(inside: Column, k: Column) -> Column:
-        a, b = F.element_at(points, k), F.element_at(points, F.when(k == 1, n).otherwise(k - 1))
-        at = (b["x"] - a["x"]).cast("double") * (y - a["y"]) / ((b["y"] - a["y"]).cast("double") + EPSILON) + a["x"]
-        return inside != (((a["y"] > y) != (b["y"] > y)) & (x < at))
+    def at(a: Column, k: Column) -> Column:
+        b = F.get(points, F.when(k == 0, F.size(points)).otherwise(k) - 1)
+        x = (b["x"] - a["x"]).cast("double") * (y - a["y"]) / ((b["y"] - a["y"]).cast("double") + EPSILON) + a["x"]
+        return F.when((a["y"] > y) != (b["y"] > y), x)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), crossed)
+    return F.array_compact(F.transform(points, at))
 
 
-def polygon_cells(points: Column) -> Column:
-    """Cells whose centre is inside an outline, as array<struct<y, x>>; only its bounding box is searched."""
+def contains(points: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule: whether a ray from (x, y) crosses the outline an odd number of times."""
+    return F.size(F.filter(crossings(points, y), lambda at: x < at)) % 2 == 1
+
 
+def polygon_cells(points: Column) -> Column:
+    """Cells whose centre is inside an outline, as array<struct<y, x>>; only its bounding box is searched, and edges are crossed once for each row of cells."""
 
     def cells(own: Column) -> Column:
         def span(axis: str) -> Column:
             values = F.transform(own, lambda p: p[axis])
             return F.sequence(F.array_min(values), F.array_max(values))
 
-        grid = F.flatten(F.transform(span("y"), lambda y: F.transform(span("x"), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-        return F.filter(grid, lambda c: contains(own, c["x"] + 0.5, c["y"] + 0.5))
+        def row(y: Column) -> Column:
+            def inside(at: Column) -> Column:
+                odd = F.filter(span("x"), lambda x: F.size(F.filter(at, lambda v: x + 0.5 < v)) % 2 == 1)
+                return F.transform(odd, lambda x: F.struct(y.alias("y"), x.alias("x")))
+
+            return bound(crossings(own, y + 0.5), lambda at: F.when(F.size(at) > 0, inside(at)).otherwise(F.expr("cast(array() as array<struct<y:int,x:int>>)")))
+
+        return F.flatten(F.transform(span("y"), row))
 
     return bound(points, cells)
 
@@ -86,9 +95,17 @@ def detection_cells(detections: Column, width: Column, height: Column, size: int
 
 
 def mask(cells: Column, size: int = GRID) -> Column:
-    """size * size numbers, 1 where a cell is set, row by row."""
-    at = F.transform(cells, lambda c: c["y"] * size + c["x"])
-    return bound(at, lambda own: F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.array_contains(own, k).cast("float")))
+    """size * size numbers, 1 where a cell is set, row by row: runs of zeros between the set places, so the time is linear."""
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+
+    def filled(own: Column) -> Column:
+        one = F.array(F.lit(1.0).cast("float"))
+        runs = F.transform(own, lambda p, i: F.concat(zeros(p - F.coalesce(F.get(own, i - 1), F.lit(-1)) - 1), one))
+        return F.concat(F.flatten(runs), zeros(F.lit(size * size - 1) - F.coalesce(F.get(own, F.size(own) - 1), F.lit(-1))))
+
+    return bound(F.array_sort(F.array_distinct(F.transform(cells, lambda c: c["y"] * size + c["x"]))), filled)
 
 
 def coverage(cells: Column, size: int = GRID) -> Column:
@@ -111,8 +128,8 @@ def normalized_label(points: Column, width: Column, height: Column) -> Column:
     return F.when(F.size(points) >= 3, F.concat(F.lit("0 "), F.array_join(numbers, " ")))
 
 
-def detection_rows(boxes: Column, scores: Column, classes: Column, names: Column, coverages: Column, outlines: Column) -> Column:
-    """Detections from parallel arrays; masks and outlines may be shorter. A class without a name is a fault."""
+def detection_rows(boxes: Column, scores: Column, classes: Column, names: Column, coverages: Column, outlines: Column, least: float = 0.0) -> Column:
+    """Detections from parallel arrays, of scores from `least` on; masks and outlines may be shorter. A class without a name is a fault."""
 
     def made(z: Column) -> Column:
         return F.struct(
@@ -123,8 +140,43 @@ def detection_rows(boxes: Column, scores: Column, classes: Column, names: Column
 
     n = F.least(F.size(boxes), F.size(scores))
     zipped = F.arrays_zip(boxes.alias("b"), scores.alias("s"), classes.alias("c"), coverages.alias("m"), outlines.alias("o"))
-    return F.transform(F.slice(zipped, F.lit(1), n), made)
+    return F.transform(F.filter(F.slice(zipped, F.lit(1), n), lambda z: z["s"] >= least), made)
 
 
 def presence(masks: DataFrame, by: str, value: str = "v") -> DataFrame:
     return masks.groupBy(by).agg((F.max(value) > 0.5).alias("present"), F.avg(value).alias("coverage"))
+
+
+def mask_summary(values: Column) -> Column:
+    """struct(present, coverage) of a mask in one row, without a shuffle."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return F.struct((F.coalesce(F.array_max(values), F.lit(0.0)) > 0.5).alias("present"), (total / F.size(values)).alias("coverage"))
+
+
+def confident(detections: Column, least: float) -> Column:
+    """Detections from a confidence on."""
+    return F.filter(detections, lambda d: d["confidence"] >= least)
+
+
+def label_mask(lines: Column, size: int = GRID) -> Column:
+    """The mask of a label file's lines (an array of texts); lines of fewer than three points count for nothing."""
+    empty = F.expr("cast(array() as array<struct<y:int,x:int>>)")
+    cells = F.transform(lines, lambda line: F.coalesce(bound(points_of_label(line, size), lambda p: F.when(p.isNotNull(), polygon_cells(p))), empty))
+    return mask(F.array_distinct(F.flatten(F.coalesce(cells, F.array(empty)))), size)
+
+
+def target(
+    label_path: Column, label_lines: Column, label_values: Column, detections: Column, width: Column, height: Column, allow_pseudo: bool = False, size: int = GRID
+) -> Column:
+    """struct(mask, present, valid, source): of a label file (.txt: its lines, else its mask), of detections if these may stand in, or an empty mask that does not count."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), size * size)
+
+    def made(values: Column, present: Column, valid: float, source: str) -> Column:
+        return F.struct(values.alias("mask"), present.cast("double").alias("present"), F.lit(valid).alias("valid"), F.lit(source).alias("source"))
+
+    real = F.when(F.lower(label_path).endswith(".txt"), label_mask(label_lines, size)).otherwise(F.coalesce(label_values, zeros))
+    own = F.when(label_path.isNotNull(), bound(real, lambda m: made(m, F.array_max(m) > 0.5, 1.0, "real")))
+    if allow_pseudo:
+        pseudo = mask(detection_cells(detections, width, height, size), size)
+        return own.otherwise(made(pseudo, F.coalesce(F.size(detections), F.lit(0)) > 0, 1.0, "pseudo"))
+    return own.otherwise(made(zeros, F.lit(0.0), 0.0, "missing"))

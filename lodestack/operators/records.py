@@ -79,9 +79,7 @@ def question_text(question: Column, messages: Column, default: str = DEFAULT_QUE
     """The question, else the texts of the first user message by lines, else a default."""
     asked = F.filter(messages, lambda m: m["role"] == "user")
     joined = strip(F.array_join(F.transform(_texts(F.get(asked, F.lit(0))), lambda i: F.coalesce(i["text"], F.lit(""))), "\n"))
-    return filled(question, F.lit(None)) if messages is None else F.coalesce(
-        F.nullif(question, F.lit("")), F.when(F.coalesce(F.size(asked), F.lit(0)) > 0, F.coalesce(joined, F.lit(""))), F.lit(default)
-    )
+    return F.coalesce(F.nullif(question, F.lit("")), F.when(F.coalesce(F.size(asked), F.lit(0)) > 0, F.coalesce(joined, F.lit(""))), F.lit(default))
 
 
 def label_source(real_path: Column, detections: Column, allow_pseudo: bool) -> Column:
@@ -108,3 +106,18 @@ def chosen_answer(*answers: Column, default: Column | None = None) -> Column:
 
 def label_candidates(row: DataFrame, fields: Sequence[str] = LABEL_FIELDS) -> list[Column]:
     return [F.col(f) for f in fields if f in row.columns]
+
+
+def training_rows(rows: DataFrame, listing: DataFrame, labels: DataFrame, allow_pseudo: bool = False, size: int = 32) -> DataFrame:
+    """(row_id, image, question, answer, mask, present, valid, source) of records (row_id, image, width, height, question, messages, chosen_answer, detections, label fields).
+
+    listing: paths that exist. labels: (path, lines array<string>, values array<float>), lines of .txt labels and masks of array files. Labels meet records by an equality.
+    """
+    from lodestack.operators.pairing import real_labels
+    from lodestack.operators.raster import target
+
+    found = real_labels(rows, listing).join(labels.select(F.col("path").alias("_path"), "lines", "values"), F.col("label_path") == F.col("_path"), "left")
+    t = target(F.col("label_path"), F.col("lines"), F.col("values"), F.col("detections"), F.col("width"), F.col("height"), allow_pseudo, size)
+    answer = chosen_answer(assistant_text(F.col("messages")), F.col("chosen_answer"))
+    made = found.select("row_id", "image", question_text(F.col("question"), F.col("messages")).alias("question"), answer.alias("answer"), t.alias("t"))
+    return made.select("row_id", "image", "question", "answer", "t.*")

@@ -61,7 +61,7 @@ def q12_first_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, conv_id % 10 AS batch, list_transform(string_split(left(text, 40), ''), lambda x: unicode(x)) AS ids FROM conversations WHERE text != ''),
+    """WITH t AS (SELECT conv_id, turn, conv_id % 10 AS batch, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations WHERE text != ''),
     p AS (SELECT conv_id, turn, batch, ids[1:12] AS prompt, ids[13:] AS answer FROM t WHERE len(ids) > 12),
     k AS (SELECT conv_id, turn, batch, answer[1:23] AS a, prompt FROM p),
     r AS (SELECT conv_id, turn, batch, a, list_slice(prompt, greatest(len(prompt) - (24 - len(a)) + 1, 1), len(prompt)) AS tail FROM k),

@@ -9,6 +9,7 @@ from lodestack.functions import text as T
 from lodestack.operators import pairing as P
 from lodestack.operators import records as R
 from lodestack.plans.registry import query, table
+from lodestack.sources.files import checked_files
 
 NAMES = """
 WITH p AS (
@@ -114,11 +115,20 @@ def q20_path_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("page_id", "path", F.element_at(T.path_order(F.col("path")), -1).alias("name"), order.alias("place"))
 
 
-@query("SELECT doc_id, md5(text) AS digest, md5(text) = md5(text) AS ok FROM documents")
+@query(
+    """WITH w AS (SELECT doc_id AS name, strlen(text) + (doc_id % 7 = 0)::INT AS size, CASE WHEN doc_id % 5 = 0 THEN md5(text || '.') ELSE md5(text) END AS md5 FROM documents),
+    f AS (SELECT doc_id AS name, strlen(text) AS found, md5(text) AS digest FROM documents WHERE doc_id % 3 != 0)
+    SELECT name, size, coalesce(size = found AND md5 = digest, false) AS ok FROM w LEFT JOIN f USING (name)"""
+)
 def q35_md5_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    digest = F.md5(F.col("text").cast("binary"))
-    return d.select("doc_id", digest.alias("digest"), (digest == F.md5("text")).alias("ok"))
+    """Texts as downloads: every third is missing; every fifth has another checksum in the catalogue, every seventh another size."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    k = F.col("doc_id")
+    other = F.md5(F.concat("content", F.lit(b".")))
+    wanted = d.select(
+        k.alias("name"), (F.length("content") + (k % 7 == 0).cast("int")).cast("bigint").alias("size"), F.when(k % 5 == 0, other).otherwise(F.md5("content")).alias("md5")
+    )
+    return checked_files(d.filter(k % 3 != 0).select(k.alias("name"), "content"), wanted)
 
 
 @query(
@@ -140,7 +150,6 @@ def q37_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ['train', 'validation', 'test'][(doc_id % 3)::INT + 1] AS split, doc_id, lang FROM documents")
 def q38_split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits read one by one and put together."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    parts = [d.filter(F.col("doc_id") % 3 == k).withColumn("split", F.lit(name)) for k, name in enumerate(("train", "validation", "test"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The union of all splits in one scan: each row is told its split, instead of a scan for each."""
+    names = F.array(*map(F.lit, ("train", "validation", "test")))
+    return table(spark, sf_dir, "documents").select(F.get(names, (F.col("doc_id") % 3).cast("int")).alias("split"), "doc_id", "lang")

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack import providers
-from lodestack.functions.text import rounded
+from lodestack.functions.text import ANSWER_PROMPT, MERGE_PROMPT, QUESTION_PROMPT, rounded
 from lodestack.operators import imaging as I
 from lodestack.operators import learning as L
 from lodestack.operators import raster as G
 from lodestack.plans.registry import query, table
+from lodestack.session import shared_dir
 
 
 def _six(x: Column) -> Column:
@@ -41,30 +42,37 @@ def q22_resize_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A triangle for each vector, from its first six numbers."""
-    e = F.col("embedding")
+    """An outline for each vector, of half as many points as it has numbers."""
+    n = F.floor(F.size("embedding") / 2).cast("int")
 
-    def at(k: int) -> Column:
-        return G.on_grid(F.least(F.lit(1.0), F.greatest(F.lit(0.0), e[k].cast("double") + 0.5)), 1.0)
+    def at(k: Column) -> Column:
+        return G.on_grid(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get("embedding", k).cast("double") + 0.5)), 1.0)
 
-    points = F.array(*(F.struct(at(2 * k).alias("x"), at(2 * k + 1).alias("y")) for k in range(3)))
+    points = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(at(2 * k).alias("x"), at(2 * k + 1).alias("y")))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", points.alias("points"))
 
 
-_EDGE = "((({b}_y > y + 0.5::DOUBLE) != ({a}_y > y + 0.5::DOUBLE)) AND x + 0.5::DOUBLE < ({b}_x - {a}_x)::DOUBLE * (y + 0.5::DOUBLE - {a}_y) / (({b}_y - {a}_y)::DOUBLE + 1e-6::DOUBLE) + {a}_x)::INT"
-_CELLS = f"""
-WITH p AS (SELECT vec_id, label, list_transform(embedding[1:6], lambda v: least(31, greatest(0, round_even(least(1::DOUBLE, greatest(0::DOUBLE, v::DOUBLE + 0.5)) * 31, 0)))::INT) AS c FROM embeddings),
-q AS (SELECT vec_id, label, c[1] AS p_x, c[2] AS p_y, c[3] AS q_x, c[4] AS q_y, c[5] AS r_x, c[6] AS r_y FROM p),
-g AS (SELECT *, unnest(range(least(p_y, q_y, r_y), greatest(p_y, q_y, r_y) + 1)) AS y FROM q),
-h AS (SELECT *, unnest(range(least(p_x, q_x, r_x), greatest(p_x, q_x, r_x) + 1)) AS x FROM g),
-cells AS (SELECT vec_id, label, y, x FROM h WHERE ({_EDGE.format(a="p", b="r")} + {_EDGE.format(a="q", b="p")} + {_EDGE.format(a="r", b="q")}) % 2 = 1)
+_CELLS = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: least(31, greatest(0, round_even(least(1::DOUBLE, greatest(0::DOUBLE, v::DOUBLE + 0.5)) * 31, 0)))::INT) AS c FROM embeddings),
+p AS (SELECT vec_id, unnest(range(len(c) // 2)) AS k, c FROM c),
+q AS (SELECT vec_id, c[2 * k + 1] AS a_x, c[2 * k + 2] AS a_y, c[2 * ((k + len(c) // 2 - 1) % (len(c) // 2)) + 1] AS b_x, c[2 * ((k + len(c) // 2 - 1) % (len(c) // 2)) + 2] AS b_y FROM p),
+span AS (SELECT vec_id, min(a_x) AS x1, max(a_x) AS x2, min(a_y) AS y1, max(a_y) AS y2 FROM q GROUP BY vec_id),
+g AS (SELECT vec_id, x1, x2, unnest(range(y1, y2 + 1)) AS y FROM span),
+h AS (SELECT vec_id, y, unnest(range(x1, x2 + 1)) AS x FROM g),
+cells AS (SELECT h.vec_id, y, x FROM h JOIN q USING (vec_id) GROUP BY ALL HAVING count(*) FILTER (((a_y > y + 0.5::DOUBLE) != (b_y > y + 0.5::DOUBLE))
+    AND x + 0.5::DOUBLE < (b_x - a_x)::DOUBLE * (y + 0.5::DOUBLE - a_y) / ((b_y - a_y)::DOUBLE + 1e-6::DOUBLE) + a_x) % 2 = 1)
 """
 
 
 @query(_CELLS + "SELECT vec_id, count(*) AS cells, sum(y) AS ys, sum(x) AS xs FROM cells GROUP BY vec_id")
 def q23_polygon_rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _points(spark, sf_dir).select("vec_id", F.explode(G.polygon_cells(F.col("points"))).alias("c"))
-    return cells.groupBy("vec_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("c.y").alias("ys"), F.sum("c.x").alias("xs"))
+    """Cells stay in their row: no shuffle."""
+    c = _points(spark, sf_dir).select("vec_id", G.polygon_cells(F.col("points")).alias("c")).filter(F.size("c") > 0)
+
+    def total(axis: str) -> Column:
+        return F.aggregate(F.transform("c", lambda v: v[axis].cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    return c.select("vec_id", F.size("c").cast("bigint").alias("cells"), total("y").alias("ys"), total("x").alias("xs"))
 
 
 @query(
@@ -84,8 +92,8 @@ def q24_box_rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CELLS + "SELECT e.vec_id, count(c.vec_id) > 0 AS present, printf('%.6f', count(c.vec_id) / 1024)::DOUBLE AS coverage FROM embeddings e LEFT JOIN cells c USING (vec_id) GROUP BY e.vec_id")
 def q25_mask_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = _points(spark, sf_dir).select("vec_id", F.explode(G.mask(G.polygon_cells(F.col("points")))).alias("v"))
-    return G.presence(masks, "vec_id").select("vec_id", "present", rounded(F.col("coverage"), 6).alias("coverage"))
+    masks = _points(spark, sf_dir).select("vec_id", G.mask_summary(G.mask(G.polygon_cells(F.col("points")))).alias("m"))
+    return masks.select("vec_id", "m.present", rounded(F.col("m.coverage"), 6).alias("coverage"))
 
 
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +124,15 @@ def q27_focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id, e, list_transform(e, lambda v: exp(v - list_max(e))) AS r FROM s)
-    SELECT vec_id, ['SUPPORT', 'UNCERTAIN', 'CONTRADICT', 'OVERCLAIM'][list_position(e, list_max(e))] AS verdict, round(list_max(r) / list_sum(r), 6) AS confidence FROM r"""
+    """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT vec_id, e, list_transform(e, lambda v: exp(v - list_max(e))) AS r, list_position(e, list_max(e)) AS place FROM s)
+    SELECT vec_id, coalesce(['SUPPORT', 'UNCERTAIN', 'CONTRADICT', 'OVERCLAIM'][place], 'LABEL_' || (place - 1)) AS verdict, round(list_max(r) / list_sum(r), 6) AS confidence FROM r"""
 )
 def q28_softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of a vector as logits; classes beyond the known ones are called by their place."""
     from lodestack.operators.claims import LABELS
 
-    e = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    name = F.get(F.array(*map(F.lit, LABELS)), L.argmax(e))
-    return table(spark, sf_dir, "embeddings").select("vec_id", name.alias("verdict"), _six(F.array_max(L.softmax(e))).alias("confidence"))
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", L.class_name(L.argmax(e), LABELS).alias("verdict"), _six(F.array_max(L.softmax(e))).alias("confidence"))
 
 
 @query(
@@ -177,37 +185,60 @@ def q34_polygon_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", F.size("o").cast("bigint").alias("points"), (F.round(total, 4) + F.lit(0.0)).alias("checksum"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT vec_id, unnest(range(len(embedding))) AS k FROM embeddings), s AS (SELECT vec_id, k, ('0x' || left(md5('42|' || vec_id || '|' || k), 8))::BIGINT / 4294967296 AS s FROM t)
+    SELECT vec_id, greatest(1, count(*) FILTER (s < 0.25)) AS kept FROM s GROUP BY vec_id"""
+)
 def q39_token_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "v"))
     return I.token_dropout(tokens, "vec_id", "place").groupBy("vec_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query()
+def _sql_text(template: str, **values: str) -> str:
+    """A prompt template as an SQL expression."""
+    text = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for name, value in values.items():
+        text = f"replace({text}, '{{{name}}}', {value})"
+    return text
+
+
+_REPLY = "left(md5(image || '|' || {}), 8)"
+_SAID = "'A possible fault at ' || {} || '.'"
+
+
+@query(
+    f"""WITH d AS (SELECT 'img/' || doc_id AS image, source AS split, doc_id % 10 = 7 AS fails FROM documents),
+    q AS (SELECT *, {_REPLY.format(_sql_text(QUESTION_PROMPT))} AS qt FROM d),
+    g AS (SELECT *, {_SAID.format("qt")} AS question FROM q),
+    a AS (SELECT *, {_REPLY.format(_sql_text(ANSWER_PROMPT, question="question", detections="'none'"))} AS gt FROM g),
+    s AS (SELECT *, {_REPLY.format("question")} AS st FROM a),
+    m AS (SELECT *, {_REPLY.format(_sql_text(MERGE_PROMPT, question="question", detections="'none'", first_reasoning='\'["seen \' || gt || \'"]\'', first_answer=_SAID.format("gt"),
+        second_reasoning='\'["seen \' || st || \'"]\'', second_answer=_SAID.format("st")))} AS mt FROM s)
+    SELECT image, split, CASE WHEN fails THEN '' ELSE question END AS question, CASE WHEN fails THEN '' ELSE {_SAID.format("gt")} END AS generator_answer,
+        CASE WHEN fails THEN '' ELSE {_SAID.format("st")} END AS second_answer, CASE WHEN NOT fails THEN {_SAID.format("mt")} END AS merged_answer,
+        CASE WHEN fails THEN 'ValueError: no reply for ' || image END AS error FROM m"""
+)
 def q40_stub_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stands for an image; images whose name ends in 7 fail."""
+    """Every document stands for an image, with a second responder; images whose name ends in 7 fail."""
     from lodestack.schemas import DETECTIONS
 
     d = table(spark, sf_dir, "documents")
     images = d.select(F.concat(F.lit("img/"), F.col("doc_id").cast("string")).alias("image"), F.col("source").alias("split"), F.lit(None).cast(DETECTIONS).alias("detections"))
-    out = providers.generate(images, lambda: providers.Stub(lambda image: image.endswith("7")))
-    return out.select("image", "split", "question", "generator_answer", "merged_answer", "error")
+    out = providers.generate(images, lambda: providers.Stub(lambda image: image.endswith("7")), providers.Stub)
+    return out.select("image", "split", "question", "generator_answer", "second_answer", "merged_answer", "error")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def q41_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the table, run until all is read."""
+    """A stream over the table, run until all is read; its result is a table in the shared folder."""
     import uuid
 
-    from lodestack.streaming.flows import windowed_counts
+    from lodestack.streaming.flows import stream_to_parquet, windowed_counts
 
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"windows_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    writer = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    query_ = (writer.option("checkpointLocation", f"{base.rstrip('/')}/{name}") if base else writer).start()
-    query_.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    found = stream_to_parquet(windowed_counts(stream), f"{base}/table", f"{base}/checkpoint")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.functions.text import ANSWER_PROMPT, MERGE_PROMPT, QUESTION_PROMPT, detections_text, filled, path_order, rendered, split_reasoning
+from lodestack.operators.raster import detection_rows
+from lodestack.schemas import DETECTIONS
+
+#: The answer that stands in for the second one where it was not asked for, and the sources of merged answers.
+NO_SECOND_ANSWER = "No second answer was generated for this sample."
+MERGED_WITH_SECOND, MERGED_ALONE = "merged_with_second", "merged_with_detections"
 
 
 class Generator(Protocol):
@@ -58,6 +65,44 @@ def called(rows: DataFrame, provider: Callable[[], Generator], prompt: Column, i
     return asked.mapInPandas(of, schema)
 
 
+class Detector(Protocol):
+    """Detections of an image as parallel arrays: boxes, scores, classes (or None), mask coverages and outlines (both may be shorter)."""
+
+    def detect(self, image: str, confidence: float) -> dict[str, list]: ...
+
+
+#: The names of classes, and what detections are kept, by default and while generating.
+CONFIDENCE, GENERATION_CONFIDENCE = 0.25, 0.05
+_FOUND = "boxes array<array<double>>, scores array<double>, classes array<int>, coverages array<double>, outlines array<array<array<double>>>"
+
+
+def detected(images: DataFrame, provider: Callable[[], Detector] | None, names: Mapping[int, str] | None = None, confidence: float = CONFIDENCE, image: str = "image") -> DataFrame:
+    """images with `detections` of a confidence on and `error`; without a detector no image has any. provider() is made once a task."""
+    if provider is None:
+        return images.withColumn("detections", F.expr(f"cast(array() as {DETECTIONS})")).withColumn("error", F.lit(None).cast("string"))
+    keys = [f.strip().split(" ")[0] for f in _FOUND.split(", ")]
+    schema = StructType(images.schema.fields + StructType.fromDDL(_FOUND).fields + StructType.fromDDL("error string").fields)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider()
+        for pdf in batches:
+            found, errors = [], []
+            for path in pdf[image]:
+                try:
+                    found.append(model.detect(path, confidence))
+                    errors.append(None)
+                except Exception as e:  # one bad image must not end the others
+                    found.append({})
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(**{k: [f.get(k) for f in found] for k in keys}, error=errors)
+
+    labels = F.create_map(*(F.lit(v) for pair in (names or {}).items() for v in pair)) if names else F.expr("cast(map() as map<int,string>)")
+    # a model that ignores the threshold is held to it
+    made = detection_rows(F.col("boxes"), F.col("scores"), F.col("classes"), labels, F.col("coverages"), F.col("outlines"), confidence)
+    rows = images.mapInPandas(of, schema)
+    return rows.select(*images.columns, F.coalesce(made.cast(DETECTIONS), F.expr(f"cast(array() as {DETECTIONS})")).alias("detections"), "error")
+
+
 def generate(images: DataFrame, generator: Callable[[], Generator], second: Callable[[], Generator] | None = None) -> DataFrame:
     """images (image, split, detections) with question, answers, merged answer and error; a row whose call fails goes on as an error row.
 
@@ -72,6 +117,8 @@ def generate(images: DataFrame, generator: Callable[[], Generator], second: Call
     else:
         rows = called(rows, second, F.col("question"), "second_answer_raw")
     rows = rows.withColumn("_g", split_reasoning(F.col("generator_answer_raw"))).withColumn("_s", split_reasoning(F.col("second_answer_raw")))
+    if second is None:
+        rows = rows.withColumn("_s", F.struct(F.col("_s.reasoning").alias("reasoning"), F.lit(NO_SECOND_ANSWER).alias("answer")))
     prompt = rendered(
         MERGE_PROMPT, question=F.col("question"), detections=shown, first_reasoning=F.to_json("_g.reasoning"), first_answer=F.col("_g.answer"),
         second_reasoning=F.to_json("_s.reasoning"), second_answer=F.col("_s.answer"),
@@ -80,7 +127,8 @@ def generate(images: DataFrame, generator: Callable[[], Generator], second: Call
     return rows.select(
         *images.columns, "question", "generator_answer_raw", F.col("_g.reasoning").alias("generator_reasoning"), F.col("_g.answer").alias("generator_answer"),
         "second_answer_raw", F.col("_s.reasoning").alias("second_reasoning"), F.col("_s.answer").alias("second_answer"), "merged_answer_raw",
-        F.col("_m.reasoning").alias("merged_reasoning"), filled(F.col("_m.answer"), F.col("_g.answer"), F.col("_s.answer")).alias("merged_answer"), "error",
+        F.col("_m.reasoning").alias("merged_reasoning"), filled(F.col("_m.answer"), F.col("_g.answer"), F.col("_s.answer")).alias("merged_answer"),
+        F.lit(MERGED_ALONE if second is None else MERGED_WITH_SECOND).alias("answer_source"), "error",
     )
 
 

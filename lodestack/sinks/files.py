@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import struct
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from lodestack import providers
+from lodestack.functions.text import path_order
+from lodestack.operators.pairing import rows_per_split
+from lodestack.operators.records import instruction_record, sft_record
+from lodestack.sources.volumes import located
+
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", keep_nulls: bool = False) -> None:
     """One JSON object a line. Null fields are left out unless they are to be kept."""
@@ -46,6 +55,76 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").json(path)
 
 
+def write_generated(rows: DataFrame, folder: str, split: str, limit: int | None = None, mode: str = "append") -> None:
+    """Instruction rows, chat rows and error rows of providers.generate() to split.jsonl, split_sft.jsonl and split_errors.jsonl below folder.
+
+    With a limit, the first so many successes in order of paths are written, and of the errors those before the last of them, as if images had been tried one by one.
+    """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        good, bad = providers.succeeded(rows), providers.failed(rows)
+        if limit is not None:
+            good = good.orderBy(path_order(F.col("image"))).limit(limit)
+            place = good.agg(F.max(path_order(F.col("image"))).alias("last"), F.count(F.lit(1)).alias("n")).first()
+            if place["n"] >= limit:
+                bad = bad.filter(path_order(F.col("image")) < F.lit(place["last"] or []).cast("array<string>"))
+        c = F.col
+        sides = [(c(f"{s}_answer_raw"), c(f"{s}_reasoning"), c(f"{s}_answer")) for s in ("generator", "second", "merged")]
+        records = good.select(*instruction_record(c("image"), c("split"), c("question"), c("detections"), *sides))
+        chats = good.select(*sft_record(c("image"), c("question"), c("merged_reasoning"), c("merged_answer"), c("answer_source"), c("detections")))
+        for frame, end in ((records, ""), (chats, "_sft"), (bad, "_errors")):
+            write_jsonl(frame, f"{folder}/{split}{end}.jsonl", mode)
+    finally:
+        rows.unpersist()
+
+
+def write_overlay_splits(rows: DataFrame, folder: str, splits: Sequence[str]) -> dict[str, int]:
+    """Overlay records (columns of records.overlay_record()) of each split to split_sft.jsonl; their numbers by split, 0 for a split without rows, which is not written."""
+    counts = {r["split"]: r["n"] for r in rows_per_split(rows, splits).collect()}
+    for split in splits:
+        if counts[split]:
+            write_jsonl(rows.filter(F.col("split") == split), f"{folder}/{split}_sft.jsonl")
+    return counts
+
+
+def png(values: bytes, width: int, height: int) -> bytes:
+    """A grey image of one byte a pixel as a PNG file."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = b"".join(b"\0" + values[k * width : (k + 1) * width] for k in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def write_grey_images(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (name, height, width, values array<int>) as folder/name.png where they are; (path, size) of what is written. A repeated task writes the same files again."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, height, width, values in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = png(bytes(values), width, height)
+                with system.open_output_stream(f"{root}/{name}.png") as out:
+                    out.write(data)
+                paths.append(f"{folder}/{name}.png")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return rows.select("name", "height", "width", "values").mapInArrow(of, "path string, size bigint")
+
+
+def write_data_yaml(root: str, names: tuple[str, ...] = ("fault",)) -> str:
+    """Writes data_yaml() to root/data.yaml and returns its path; a small file from the driver."""
+    system, at = located(root)
+    system.create_dir(at, recursive=True)
+    with system.open_output_stream(f"{at}/data.yaml") as out:
+        out.write(data_yaml(root, names).encode())
+    return f"{root}/data.yaml"
+
+
 def data_yaml(root: str, names: tuple[str, ...] = ("fault",)) -> str:
     """The description of a detection dataset."""
     listed = "\n".join(f"  {k}: {n}" for k, n in enumerate(names))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import tarfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ def read_training_rows(spark: SparkSession, path: str, schema: str) -> DataFrame
 def list_files(spark: SparkSession, root: str, recursive: bool = True, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
     """(path, size) of files with a suffix; the content is not read. Order by path_order() where order matters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if not recursive:
-        files = files.option("pathGlobFilter", "*")
     listed = files.load(root).select(F.regexp_replace("path", "^file:(?=/)", "").alias("path"), F.col("length").alias("size"))
     return listed.filter(has_suffix(F.col("path"), suffixes))
 
@@ -46,6 +47,23 @@ def read_images(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGE_
     return kept.select(F.regexp_replace("path", "^file:(?=/)", "").alias("path"), "content", F.md5("content").alias("md5"))
 
 
+def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, size, content) of the files in .tar.gz archives; an archive is read as a stream, one member at a time, in the task that has it."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with tarfile.open(fileobj=io.BytesIO(data.as_buffer()), mode="r|gz") as tar:
+                    for member in tar:
+                        if member.isfile():
+                            content = tar.extractfile(member).read()
+                            row = [pa.array([archive]), pa.array([member.name]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())]
+                            yield pa.RecordBatch.from_arrays(row, ["archive", "member", "size", "content"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:(?=/)", "").alias("archive"), "content")
+    return files.mapInArrow(of, "archive string, member string, size bigint, content binary")
+
+
 def checked_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, size, ok) of downloaded files (name, content) against a catalogue (name, size, md5)."""
     found = files.select("name", F.md5("content").alias("_md5"), F.length("content").alias("_size"))

@@ -9,6 +9,7 @@ Slices of a volume are read one at a time, so memory is bounded by a slice; volu
 from __future__ import annotations
 
 import ast
+import fnmatch
 import glob
 import io
 import struct
@@ -17,6 +18,10 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAGIC = b"\x93NUMPY"
@@ -42,9 +47,27 @@ class Inflated:
         return out
 
 
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path there."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def listed(pattern: str) -> list[str]:
+    """Files of a pattern in order; below an address, the last part may have wildcards."""
+    if "://" not in pattern:
+        return sorted(glob.glob(pattern.removeprefix("file:")))
+    folder, _, name = pattern.rpartition("/")
+    system, root = located(folder)
+    found = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f"{folder}/{f.base_name}" for f in found if f.is_file and fnmatch.fnmatchcase(f.base_name, name))
+
+
 def opened(path: str) -> BinaryIO | Inflated:
     """The array's bytes: of a .npy file, or of the first member of a zip archive, found by its local header."""
-    file = open(path, "rb")
+    system, at = located(path)
+    file = system.open_input_file(at)
     head = file.read(30)
     if head[:6] == MAGIC:
         file.seek(0)
@@ -97,6 +120,47 @@ def load_mask(content: bytes, size: int = 32) -> np.ndarray:
     return (np.asarray(array, np.float32)[rows][:, columns] > 0).astype(np.float32)
 
 
+def masks(files: DataFrame, size: int = 32) -> DataFrame:
+    """(path, values) of array files (path, content): the mask of each, size * size numbers row by row, in Arrow batches."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [load_mask(c, size).ravel() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], ["path", "values"])
+
+    return files.select("path", "content").mapInArrow(of, "path string, values array<float>")
+
+
+def array_images(files: DataFrame) -> DataFrame:
+    """(path, height, width, values) of array files (path, content): axes of length one taken out, of more than two the first channel."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images = []
+            for c in batch.column(1).to_pylist():
+                a = np.squeeze(np.load(io.BytesIO(c)))
+                a = np.atleast_2d(a if a.ndim <= 2 else a[..., 0])
+                images.append(a.reshape(a.shape[0], -1))
+            columns = [pa.array([a.shape[k] for a in images], pa.int32()) for k in (0, 1)]
+            values = pa.array([a.ravel().astype(np.float64) for a in images], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, values], ["path", "height", "width", "values"])
+
+    return files.select("path", "content").mapInArrow(of, "path string, height int, width int, values array<double>")
+
+
+def paired_slices(seis: DataFrame, fault: DataFrame, on: str = "id") -> DataFrame:
+    """(on, slice_idx, height, width, seis, fault) of two volumes' slices, matched by place; a pair of other shapes stops the query. Slices that one side lacks are left out.
+
+    Both sides are (on, slice_idx, height, width, values).
+    """
+    right = fault.select(F.col(on).alias("_on"), F.col("slice_idx").alias("_slice"), F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("values").alias("fault"))
+    both = seis.join(right, (F.col(on) == F.col("_on")) & (F.col("slice_idx") == F.col("_slice")))
+    same = (F.col("height") == F.col("_h")) & (F.col("width") == F.col("_w"))
+    text = F.concat(F.lit("the two volumes of "), F.col(on).cast("string"), F.lit(" differ in shape"))
+    height = F.when(same, F.col("height")).otherwise(F.raise_error(text).cast("int"))
+    return both.select(on, "slice_idx", height.alias("height"), "width", F.col("values").alias("seis"), "fault")
+
+
 class OneVolume(InputPartition):
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -110,14 +174,16 @@ class VolumeReader(DataSourceReader):
         self.most = int(most) if most else None
 
     def partitions(self) -> list[OneVolume]:
-        paths = sorted(p for part in self.pattern.split(",") for p in glob.glob(part))
+        paths = sorted(p for part in self.pattern.split(",") for p in listed(part))
         if not paths:
             raise FileNotFoundError(self.pattern)
         return [OneVolume(p) for p in paths]
 
-    def read(self, partition: OneVolume) -> Iterator[tuple]:
+    def read(self, partition: OneVolume) -> Iterator[pa.RecordBatch]:
         for k, section in slices(partition.path, self.most):
-            yield partition.path, k, section.shape[0], section.shape[1], section.astype(np.float32).ravel().tolist()
+            values = pa.ListArray.from_arrays(pa.array([0, section.size], pa.int32()), pa.array(section.astype(np.float32).ravel()))
+            shape = [pa.array([v], pa.int32()) for v in (k, *section.shape)]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), *shape, values], ["path", "slice_idx", "height", "width", "values"])
 
 
 class VolumeSource(DataSource):
