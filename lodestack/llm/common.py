@@ -2,49 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.session import shared_dir
+
 #: ASCII white space, the only separators of words: \x20 and \x09 to \x0D.
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where a session names none (tests, a laptop) is a temporary folder set.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="lodestack-shared-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again.
 
     Cuts the lineage without losing anything when an executor goes: the copy lies in the
-    shared store, compressed and column-pruned on the way back.
+    shared store, compressed and column-pruned on the way back. It is deleted by drop_stored(), or when the driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/lodestack/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, at = _located(spark, path)
+    system.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def drop_stored(df: DataFrame) -> None:
     """Deletes what stored() wrote for df; df must not be read afterwards."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system, at = _located(df.sparkSession, file)
+        system.delete(at.getParent(), True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +48,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n: the fold a row belongs to (null: null)."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
+
+
+def pieces(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
+    """texts in order, in lists of about `most` characters, or of one longer text."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def sent(table: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """table, broadcast if it has no more rows than `most`. rows: their number where it is known; else they are counted, so table should be stored."""
+    n = table.count() if rows is None else rows
+    return F.broadcast(table) if n <= (MOST_BROADCAST if most is None else most) else table

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import WORD, stored
+from lodestack.llm.common import WORD, sent, stored
 
 #: No document, shard or source is taken more often than this.
 MOST_EPOCHS = 3
@@ -71,9 +71,8 @@ def mix(
     text_col: str = "text",
     weights: Sequence[int] = (1, 2, 3),
     seed: int = 42,
-    keep: bool = False,
 ) -> DataFrame:
-    """One row per input row: id_col, size, source_size, target, taken; with keep, also the row as a struct `row`.
+    """One row per input row: id_col, size, source_size, target, taken.
 
     A row's size is its number of words. Sources in order of code points, null last, take the weights in
     turn and share the sum of all sizes, each up to MOST_EPOCHS times its own size. Blocks of equally
@@ -82,18 +81,33 @@ def mix(
     takes each of its rows e times and then, in an order seeded by hash, the blocks that hold the first r words; a row
     that the last block cuts is taken in part.
 
-    The driver holds one row per source name, never rows, and shards are apportioned on executors. The
-    source of any size is split over its shards, so no task orders more than about SHARD_ROWS short rows.
+    The driver holds one row per source name, never rows, and shards are apportioned on executors. Source and shard are one key
+    of the order, so a source of any size is split over its shards, and no task orders more than about SHARD_ROWS short rows of one. Texts are not moved.
 
     Defined cases: a null text has size 0, and rows without words are taken 0 times; null is a source
-    of its own; null ids are hashed like any other; repeated rows are separate; an empty table gives
+    of its own; null ids are hashed like any other; repeated rows are separate; texts of any length count whole; an empty table gives
     no rows. Other columns are ignored, whatever their names.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    joined, _ = _ranked(docs, id_col, source_col, text_col, weights, seed)
+    part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("rest") - F.col("_before")))
+    return joined.select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("rounds") * F.col("_size") + part).cast("long").alias("taken")
+    )
+
+
+def _key(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+
+
+def _cell(seed: int, own: Column, shards: Column, key: Column) -> Column:
+    """Source and shard as one value: were they two, a join by source would keep all shards of a source in one task."""
+    return F.concat_ws(" ", F.pmod(F.xxhash64(F.lit(seed), own), shards).cast("string"), key)
+
+
+def _ranked(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _size, _cell, _hash, source_size, target), with the words _before them in their shard's order, its whole rounds, and the rest of its words; and the sources."""
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), key.alias("_key"), size.alias("_size"))
-    if not keep:
-        rows = stored(rows.drop("row"), "sizes")
+    rows = stored(docs.select(F.col(id_col).alias("_id"), _key(source_col).alias("_key"), size.alias("_size")), "sizes")
     found = rows.groupBy("_key").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     found.sort(key=lambda r: (r["_key"] == "", r["_key"]))
     sizes = [r["n"] for r in found]
@@ -101,48 +115,42 @@ def mix(
     least = min((t for t in targets if t > 0), default=1.0)
     block = max(1, 1 << min(int(math.log2(BLOCK_WORDS)), max(0, int(math.log2(max(1.0, least / 100))))))
     quotas = sainte_lague(targets, round(sum(targets) / block), [MOST_EPOCHS * n // block for n in sizes])
-    spark = docs.sparkSession
-    sources = spark.createDataFrame(
-        [
-            (r["_key"], r["n"], t, int(q), max(1, math.ceil(r["rows"] / SHARD_ROWS)))
-            for r, t, q in zip(found, targets, quotas)
-        ],
+    sources = docs.sparkSession.createDataFrame(
+        [(r["_key"], r["n"], t, int(q), max(1, math.ceil(r["rows"] / SHARD_ROWS))) for r, t, q in zip(found, targets, quotas)],
         "_source string, source_size long, target double, blocks long, shards int",
     )
-    shard = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.col("shards")).cast("int")
-    placed = rows.join(sources, F.col("_key") == F.col("_source")).withColumn("_shard", shard)
+    sources = sent(sources, len(found))
+    placed = rows.join(sources, F.col("_key") == F.col("_source")).withColumn("_cell", _cell(seed, F.col("_id"), F.col("shards"), F.col("_key")))
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_shard")
+        pdf = pdf.sort_values("_cell")
         got = sainte_lague(pdf["words"], int(pdf["blocks"].iloc[0]), MOST_EPOCHS * pdf["words"].to_numpy() // block)
-        return pdf[["_source", "_shard", "words"]].assign(quota=got * block)
+        return pdf[["_cell", "words"]].assign(quota=got * block)
 
-    shards = placed.groupBy("_source", "_shard").agg(F.sum("_size").alias("words"), F.first("blocks").alias("blocks"))
-    shards = shards.groupBy("_source").applyInPandas(apportion, "_source string, _shard int, words long, quota long")
-    shards = shards.select(F.col("_source").alias("_of"), F.col("_shard").alias("_at"), "words", "quota")
+    shards = placed.groupBy("_cell", "_key").agg(F.sum("_size").alias("words"), F.first("blocks").alias("blocks"))
+    shards = shards.groupBy("_key").applyInPandas(apportion, "_cell string, words long, quota long")
+    rounds = F.expr("if(words > 0, quota div words, 0)")
+    shards = shards.select(F.col("_cell").alias("_of"), rounds.alias("rounds"), (F.col("quota") - rounds * F.col("words")).alias("rest"))
 
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_size")
+    hashed = placed.select("_id", "_size", "_cell", "source_size", "target", F.xxhash64("_id", F.lit(seed)).alias("_hash"))
+    order = Window.partitionBy("_cell").orderBy("_hash", "_id", "_size")
     before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    ranked = placed.withColumn("_before", before)
-    joined = ranked.join(shards, (F.col("_source") == F.col("_of")) & (F.col("_shard") == F.col("_at")))
-    rounds = F.expr("if(words > 0, quota div words, 0)")
-    part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("quota") - rounds * F.col("words") - F.col("_before")))
-    return joined.select(
-        F.col("_id").alias(id_col),
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (rounds * F.col("_size") + part).cast("long").alias("taken"),
-        *(["row"] if keep else []),
-    )
+    return hashed.withColumn("_before", before).join(shards, F.col("_cell") == F.col("_of")), sources
 
 
-def mixed_rows(docs: DataFrame, **how: object) -> DataFrame:
-    """The rows of docs as the mix takes them: one copy for each whole time, with docs' columns.
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (1, 2, 3), seed: int = 42) -> DataFrame:
+    """The rows of docs as the mix takes them: one copy for each whole time, with docs' columns, whatever their names.
 
-    The one row in a shard that its last block cuts is kept if half of its words or more are taken.
+    The one row in a shard that its last block cuts is kept if half of its words or more are taken. Sizes are ranked without their texts; what comes back to the
+    rows is, for each shard, its rounds and the last hash that the cut takes, so texts stay where they are read. Rows that share an id are taken alike.
     """
-    taken = mix(docs, keep=True, **how)
-    copies = F.expr("if(size > 0, cast(floor((2 * taken + size) / (2 * size)) as int), 0)")
-    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select("row.*")
+    ranked, sources = _ranked(docs, id_col, source_col, text_col, weights, seed)
+    half = (F.col("_size") > 0) & (2 * (F.col("rest") - F.col("_before")) >= F.col("_size"))
+    cells = ranked.groupBy(F.col("_cell").alias("_of")).agg(F.first("rounds").alias("rounds"), F.max(F.when(half, F.col("_hash"))).alias("last"))
+    cells = stored(cells, "cells")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), _key(source_col).alias("_key"), F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False)).alias("_any"))
+    rows = rows.join(sources.select("_source", "shards"), F.col("_key") == F.col("_source"))
+    rows = rows.withColumn("_cell", _cell(seed, F.col("_id"), F.col("shards"), F.col("_key"))).join(sent(cells), F.col("_cell") == F.col("_of"))
+    more = F.coalesce(F.xxhash64("_id", F.lit(seed)) <= F.col("last"), F.lit(False)).cast("int")
+    copies = F.when(F.col("_any"), F.col("rounds").cast("int") + more).otherwise(0)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")

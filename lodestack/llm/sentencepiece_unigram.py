@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.toxicity import pieces as runs_of_texts
+from lodestack.llm.common import pieces as runs_of_texts
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -289,7 +289,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
         schema = schema.add("round_trip", "boolean").add("decoded_sha256", "string")
     names, place = rest.columns, rest.columns.index(text_col)
     encoder = Encoder(vocabulary)
-    assert encoder.trie  # built here once and sent along: about 2 MB, however long the table
+    _ = encoder.trie  # built here once and sent along: about 2 MB, however long the table
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

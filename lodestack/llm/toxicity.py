@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import pieces
+
 #: The kernel counts common subsequences of three characters that span six at most, each occurrence
 #: weighing DECAY ** span, so gaps and inserted characters weaken a match and do not end it.
 SPAN = 6
@@ -206,19 +208,6 @@ class Features:
         return [document_features(np.fromiter(map(get, d), np.float32, len(d))) for d in docs]
 
 
-def pieces(texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[list[str]]:
-    """texts in order, in lists of about `most` characters, or of one longer text."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t or "")
-        n += len(held[-1])
-        if n >= most:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _features(rows: DataFrame, model: ToxicityModel, scored: bool) -> DataFrame:
     """rows (_id, _y, _text) with features of the text, or its score."""
     names = ["score"] if scored else ["f1", "f2", "f3"]
