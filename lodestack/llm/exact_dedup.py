@@ -53,14 +53,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns: one of each group of equal texts.
+    """The rows of docs that stay, with docs' columns, whatever their names: one of each group of equal texts.
 
-    Verdicts are joined by id and hash, so rows that share an id and differ in text are judged apart; of rows that repeat both, one
-    stays. Other cases are as in exact_dedup().
+    Verdicts are joined by one key of hash and id, so rows that share an id and differ in text are judged apart, and the join's partitioning serves
+    to drop all but one of rows that repeat both: texts move once here. Other cases are as in exact_dedup().
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept"), F.unhex("hash128").alias("_of")).distinct()
-    hashed = docs.withColumn("_h", F.unhex(F.md5(normalised(text_col))))
-    joined = hashed.join(kept, (F.col("_h") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    # ids and hashes are as good as unique here, so no partition of the window is large
-    turn = F.row_number().over(Window.partitionBy("_h", id_col).orderBy("_h"))
-    return joined.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)
+
+    def key(h: Column, own: Column) -> Column:
+        return F.coalesce(F.concat(h, F.lit("="), own.cast("string")), h)
+
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("hash128"), F.col(id_col)).alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key(F.md5(normalised(text_col)), F.col(id_col)).alias("key")).join(kept, "key", "left_semi")
+    # keys are as good as unique here, so no partition of the window is large
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.withColumn("turn", turn).filter("turn = 1").select("row.*")
