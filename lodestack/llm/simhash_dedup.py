@@ -204,7 +204,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(classes.select("fp")), "a", "b")
+    # short rows, and each becomes 64: dealt over all tasks, as adaptive execution would leave them to a few
+    roots = components(links(classes.select("fp").repartition("fp")), "a", "b")
     owned = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root")
     )
