@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lodestack.llm import quote_linking as op
 
 SCHEMA = "conv_id long, turn long, role string, text string, parent int, _conv string"
@@ -14,6 +16,20 @@ def parse(text):
         yield (marks[1].count(">") if marks else 0), line, re.sub("[\x20\x09-\x0d]+", " ", rest).strip(" ").lower()
 
 
+def units(text):
+    """(level, text, lines, whole) of passages and their lines: runs of lines of one level, up to a blank line."""
+    run, out = [], []
+    for level, _, norm in [*parse(text), (-1, "", "")]:
+        if run and (not norm or level != run[0][0]):
+            out += [(lv, n, 1, 0) for lv, n in run]
+            if len(run) > 1:
+                out.append((run[0][0], "\n".join(n for _, n in run), 0, len(run)))
+            run = []
+        if norm:
+            run.append((level, norm))
+    return out
+
+
 def brute(rows):
     out = []
     for conv in {r[0] for r in rows}:
@@ -25,21 +41,26 @@ def brute(rows):
             for r in own:
                 if r[1] != t:
                     continue
-                for level, _, norm in parse(r[3]):
-                    if level and norm:
-                        earlier = [q[1] for q in own if q[1] < t and any(lv == 0 and n == norm for lv, _, n in parse(q[3]))]
-                        if earlier:
-                            votes[-level, max(earlier)] = votes.get((-level, max(earlier)), 0) + 1
-            best = max(((lv, n, p) for (lv, p), n in votes.items()), default=None)
-            parent[t] = best[2] if best else turns[k - 1] if k else None
-            linked[t] = best[1] if best else 0
-        root, depth = {}, {}
-        for t in turns:
-            root[t], depth[t] = (root[parent[t]], depth[parent[t]] + 1) if parent[t] is not None else (t, 0)
-        own.sort(key=lambda r: (root[r[1]], r[1], r[2], r[3] or ""))
+                for level, norm, n, whole in units(r[3]):
+                    earlier = [q[1] for q in own if q[1] < t and any(lv == 0 and u == norm for lv, u, _, _ in units(q[3]))] if level else []
+                    if earlier:
+                        w, m = votes.get((-level, max(earlier)), (0, 0))
+                        votes[-level, max(earlier)] = (w + whole, m + n)
+            best = max(((lv, w, n, p) for (lv, p), (w, n) in votes.items()), default=None)
+            parent[t] = best[3] if best else turns[k - 1] if k else None
+            linked[t] = max(best[1], best[2]) if best else 0
+        order, depth = [], {}
+        todo = [(turns[0], 0)]
+        while todo:  # depth first, earlier replies first
+            t, d = todo.pop()
+            order.append(t)
+            depth[t] = d
+            todo += [(u, d + 1) for u in reversed(turns) if parent[u] == t]
+        place = {t: k for k, t in enumerate(order)}
+        own.sort(key=lambda r: (place[r[1]], r[2], r[3] or ""))
         for k, r in enumerate(own, 1):
             text = "\n".join(line for level, line, _ in parse(r[3]) if level == 0).strip(" \t\n\x0b\x0c\r")
-            out.append((*r[:3], text, parent[r[1]], linked[r[1]] > 0, linked[r[1]], root[r[1]], depth[r[1]], k))
+            out.append((*r[:3], text, parent[r[1]], linked[r[1]] > 0, linked[r[1]], turns[0], depth[r[1]], k))
     return sorted(out, key=repr)
 
 
@@ -69,6 +90,40 @@ def test_like_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_branches_differ_from_the_order_of_turns(spark):
+    rows = [(1, k, "user", t) for k, t in enumerate(["a", "b", "c", "> a\nd", "> b\ne", "f", "> a\ng", "> d\nh", "> f\ni"])]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert [r[1] for r in sorted(got, key=lambda r: r[-1])] == [0, 1, 2, 4, 5, 8, 3, 7, 6]
+
+
+def test_whole_passages_come_before_lines(spark):
+    rows = [(1, 0, "user", "one\ntwo\nthree"), (1, 1, "user", "one\n\ntwo\n\nthree\n\nfour"), (1, 2, "user", "x"), (1, 3, "user", "> one\n> two\n> three\n> four\ny"), (1, 4, "user", "> ONE\n>  two\n> three\nz")]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert [r[4] for r in sorted(got, key=lambda r: r[1])] == [None, 0, 1, 1, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_parts_of_one_conversation(spark, parts):
+    """Ranks and places do not depend on how many parts a conversation is dealt into."""
+    r = random.Random(5)
+    rows = []
+    for k in range(150):
+        text = f"line {k}"
+        if k and r.random() < 0.4:
+            text = f"> line {r.randrange(k)}\n{text}"
+        rows += [(7, k, r.choice("ab"), text)] * r.choice((1, 1, 2))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_nested_levels_and_a_long_chain(spark):
     rows = [(1, 0, "user", "first"), (1, 1, "user", "second"), (1, 2, "user", "third"), (1, 3, "assistant", "> > first\n> second\nanswer")]
     rows += [(2, k, "user", f"m{k}") for k in range(70)]
