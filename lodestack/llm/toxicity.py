@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import pieces
+from lodestack.llm.common import drop_stored, pieces, stored
 
 #: The kernel counts common subsequences of three characters that span six at most, each occurrence
 #: weighing DECAY ** span, so gaps and inserted characters weaken a match and do not end it.
@@ -25,13 +26,19 @@ CLASSES, START, END = 64, 62, 63
 WINDOW = 24
 #: Labelled documents to learn from at most, by label; the first in an order by hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
-#: Words that the machine is trained on at most, and its landmarks.
-TOXIC_WORDS, CLEAN_WORDS, HARD_WORDS, LANDMARKS = 3_000, 8_000, 3_000, 256
-#: Different toxic documents that a word must stand in; one of fewer may be there by chance.
+#: Sentences of them that the machine is trained on at most, by label; a longer sentence is cut into several of so many words.
+TOXIC_SENTENCES, CLEAN_SENTENCES, SENTENCE_WORDS = 6_000, 2_000, 40
+#: Clean words that look most toxic to a first machine, for the second, at most; words that first point at toxic sentences, at most; landmarks.
+HARD_WORDS, POINTERS, LANDMARKS = 3_000, 3_000, 256
+#: Different toxic documents that a word must stand in to point at a sentence; one of fewer may be there by chance.
 SEEN_IN = 3
+#: Parts of an order by hash of which one is cut, so that a bound is met exactly enough without sorting.
+PARTS = 4_096
 #: Scored words a Python worker remembers.
 REMEMBERED = 300_000
 MARGIN = 3.0
+#: Margin from which a word counts as toxic in a document's score.
+SURE = 1 / 3
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -151,8 +158,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(a[0] + features @ a[1:])))
 
 
-def fit_machine(words: Sequence[str], toxic: np.ndarray, weight: np.ndarray, landmarks: int = LANDMARKS, cost: float = 4.0) -> tuple[np.ndarray, float]:
-    """Table and bias of a squared-hinge machine on Nystrom features K_nm K_mm^(-1/2)."""
+def fit_machine(words: Sequence[str], toxic: np.ndarray, weight: np.ndarray, landmarks: int = LANDMARKS, cost: float = 4.0) -> tuple[list[str], np.ndarray, float]:
+    """Landmarks, their weights and the bias of a squared-hinge machine on Nystrom features K_nm K_mm^(-1/2). Landmarks are the weightiest words of both classes, half of each."""
     order = np.argsort(-weight, kind="stable")
     chosen = [*order[toxic[order] == 1][: landmarks // 2], *order[toxic[order] == 0][: landmarks // 2]]
     marks = [words[p] for p in chosen]
@@ -169,11 +176,15 @@ def fit_machine(words: Sequence[str], toxic: np.ndarray, weight: np.ndarray, lan
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
-    beta = root @ w[:-1]
+    return marks, root @ w[:-1], float(w[-1])
+
+
+def folded(marks: Sequence[str], beta: np.ndarray) -> np.ndarray:
+    """The sum over landmarks of weight times kernel as one weight for each subsequence, by its code."""
     table = np.zeros(CLASSES**3, np.float64)
     for own, code, each, norm in subsequences(marks):
         np.add.at(table, code, each[None, :] * (beta[own] / norm)[:, None])
-    return table.astype(np.float32), float(w[-1])
+    return table.astype(np.float32)
 
 
 def varied(word: str, r: random.Random) -> str:
@@ -185,10 +196,10 @@ def varied(word: str, r: random.Random) -> str:
 
 
 def document_features(margins: np.ndarray) -> list[float]:
-    """Largest and second largest margin of a document's words, repeats counted, and how many are above 0."""
+    """Largest and second largest margin of a document's words, repeats counted, up to the machine's own margin of 1, and how many are SURE or more."""
     top = np.sort(np.partition(margins, -2)[-2:]) if len(margins) > 2 else np.sort(margins)
-    top = np.concatenate((np.full(2 - len(top), -MARGIN), top))
-    return [float(top[1]), float(top[0]), float(np.log1p((margins > 0).sum()))]
+    top = np.minimum(np.concatenate((np.full(2 - len(top), -MARGIN), top)), 1)
+    return [float(top[1]), float(top[0]), float(np.log1p((margins >= SURE).sum()))]
 
 
 class Features:
@@ -270,58 +281,120 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Learns from a bounded sample of labelled rows; the driver holds word counts and features, never texts.
+def rising(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """logistic() with no weight below 0, as more toxic words never make a document less toxic: features that would get one are left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        bias, *found = logistic(x[:, used], y)
+        if min(found, default=0.0) >= 0:
+            break
+        used = [u for u, w in zip(used, found) if w >= 0]
+    weights = dict(zip(used, found))
+    return (bias, *(weights.get(k, 0.0) for k in range(x.shape[1])))
+
+
+def first_rows(rows: DataFrame, most: int, by: Column, rank: Column | None = None) -> DataFrame:
+    """`most` rows at most (all, if there are no more): by falling rank, and within the rank that is cut, by hash of `by`, whole parts of PARTS.
+
+    The driver gets a number for each rank and for each part, never a row, so what it holds does not grow with rows or partitions.
+    """
+    ranked = rows.withColumns({"_rank": F.lit(0) if rank is None else rank, "_share": F.pmod(F.xxhash64(by), F.lit(1 << 31)) / F.lit(float(1 << 31))})
+    left, cut = most, None
+    for r in sorted(ranked.groupBy("_rank").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["_rank"]):
+        if r["n"] > left:
+            cut = r
+            break
+        left -= r["n"]
+    if cut is None:
+        return ranked.drop("_rank", "_share")
+    width = min(1.0, 4.0 * max(1, left) / cut["n"])
+    part = F.floor(F.col("_share") / width * PARTS).cast("int")
+    counts = ranked.filter((F.col("_rank") == cut["_rank"]) & (F.col("_share") < width)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    parts = 0
+    for r in sorted(counts, key=lambda r: r["part"]):
+        if r["n"] > left:
+            break
+        left, parts = left - r["n"], r["part"] + 1
+    kept = (F.col("_rank") > cut["_rank"]) | (F.col("_rank") == cut["_rank"]) & (F.col("_share") < parts * width / PARTS)
+    return ranked.filter(kept).drop("_rank", "_share")
+
+
+def _sentences(sample: DataFrame, pointers: frozenset[str]) -> DataFrame:
+    """(y, words) of the labelled sentences, each as its bare words, SENTENCE_WORDS at most: of toxic documents those with a pointer, of clean documents all; equal sentences once."""
 
-    Sentences get their document's label. Words in sentences of toxic documents alone are the toxic class, words
-    in clean ones the clean class, weighed by how many different documents show them; each toxic word is learned with
-    inserted characters too. A document's score is a logistic function of its words' margins.
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist()):
+                found = []
+                for s in sentences(text.as_py() or ""):
+                    words = [w.strip(EDGES) for w in tokens(s)]
+                    for k in range(0, len(words), SENTENCE_WORDS):
+                        own = [w for w in words[k : k + SENTENCE_WORDS] if w]
+                        if own and (y == 0 or not pointers.isdisjoint(own)):
+                            found.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found, pa.list_(pa.string()))], ["y", "words"])
+
+    return sample.select("_text", "_y").mapInArrow(of, "y int, words array<string>").distinct()
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> ToxicityModel:
+    """Learns from labelled sentences of a bounded sample of labelled rows; the driver holds TOXIC_SENTENCES and CLEAN_SENTENCES cut sentences, counts and features.
 
-    Rows with a null id or label are ignored; an id labelled twice takes its larger label. Without both
+    Sentences get their document's label. A sentence is as toxic as its most toxic word (a bag of words, of which one is its witness): the machine learns the witness of each toxic
+    sentence against all words of the clean ones. Most sentences of a toxic document are clean, so those are taken that hold a word which SEEN_IN toxic documents and no clean one
+    have. Their first witnesses are such words; the first machine then chooses each sentence's witness anew, and the second is learned from these, and from the clean words that
+    the first takes for toxic. Witnesses are learned with inserted characters too. A document's score is a logistic function of its words' margins.
+
+    Rows with a null id or label are ignored; an id labelled twice takes its larger label, one with several texts one of them. Without both
     classes, or without words that tell them apart, every document scores the smoothed rate of the label.
     """
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     )
-    order = [F.xxhash64("_id"), F.col("_id")]
-    wanted = (
-        known.filter("_y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionAll(known.filter("_y = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    )
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids of a few bytes are broadcast
-    sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
-
-    words = _seen_words(sample).cache()
-    spread = F.xxhash64("word")
-    toxic = words.filter(f"clean = 0 and toxic >= {SEEN_IN}").orderBy(F.desc("toxic"), spread).limit(TOXIC_WORDS).collect()
-    clean = [
-        *words.filter("clean > 0").orderBy(F.desc("clean"), spread).limit(CLEAN_WORDS // 4).collect(),
-        *words.filter("clean > 0").orderBy(spread).limit(CLEAN_WORDS * 3 // 4).collect(),
-    ]
+    known = stored(known, "labels")
     rate = known.agg(((F.sum("_y") + 0.5) / (F.count("_y") + 1.0)).alias("r")).first()["r"]
     rate = 0.5 if rate is None else float(rate)
     flat = ToxicityModel(np.zeros(CLASSES**3, np.float32), -MARGIN, (math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
-    clean = list({r["word"]: r for r in clean}.values())
+    wanted = first_rows(known.filter("_y = 1"), toxic_rows, F.col("_id")).unionAll(first_rows(known.filter("_y = 0"), clean_rows, F.col("_id")))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    # at most toxic_rows + clean_rows ids of a few bytes are broadcast
+    sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    sample = stored(sample, "toxicity-sample")
+    words = stored(_seen_words(sample), "seen-words")
+    pointers = first_rows(words.filter(f"clean = 0 and toxic >= {SEEN_IN}"), POINTERS, F.col("word"), F.col("toxic")).collect()
+    seen = {w["word"]: min(w["toxic"] - SEEN_IN + 1, 20) for w in pointers}
+    bags = stored(_sentences(sample, frozenset(seen)), "labelled-sentences")
+    chosen = [first_rows(bags.filter(F.col("y") == y), n, F.col("words")) for y, n in ((1, TOXIC_SENTENCES), (0, CLEAN_SENTENCES))]
+    toxic, clean = (sorted(r["words"] for r in c.collect()) for c in chosen)
     if not toxic or not clean:
-        words.unpersist()
         return flat
-    r = random.Random(42)
-    found = [(w["word"], 1, min(w["toxic"] - SEEN_IN + 1, 20)) for w in toxic]
-    found += [(varied(w["word"], r), 1, min(w["toxic"] - SEEN_IN + 1, 20) / 4) for w in toxic for _ in range(2)]
-    found += [(w["word"], 0, 1.0) for w in clean]
-    found += [(varied(w["word"], r), 0, 0.25) for w in clean[::2]]
-    table, bias = fit_machine(*map(np.array, zip(*found)))
-    # once more, with the clean words that look most toxic so far
-    hard = _margins(words.filter("clean > 0").select("word"), ToxicityModel(table, bias, flat.document))
-    hard = hard.orderBy(F.desc("margin"), spread).limit(HARD_WORDS).collect()
-    words.unpersist()
-    found += [(w["word"], 0, 1.0) for w in hard]
-    table, bias = fit_machine(*map(np.array, zip(*found)))
+
+    def learned(witnesses: Sequence[str], hard: Sequence[str]) -> tuple[np.ndarray, float]:
+        r, counts = random.Random(42), Counter(witnesses)
+        found = [(w, 1, min(n, 20)) for w, n in sorted(counts.items())]
+        found += [(varied(w, r), 1, min(n, 20) / 4) for w, n in sorted(counts.items()) for _ in range(2)]
+        innocent = sorted({w[:WINDOW] for s in clean for w in s}.difference(counts))
+        found += [(w, 0, 1.0) for w in innocent]
+        found += [(varied(w, r), 0, 0.25) for w in innocent[::2]]
+        found += [(w, 0, 1.0) for w in sorted(set(hard).difference(innocent, counts))]
+        marks, beta, bias = fit_machine(*map(np.array, zip(*found)))
+        return folded(marks, beta), bias
+
+    table, bias = learned([max((w for w in s if w in seen), key=lambda w: (seen[w], w)) for s in toxic], ())
+    first = ToxicityModel(table, bias, flat.document)
+    margins = dict(zip(every := sorted({w for s in toxic for w in s}), first.margins(every).tolist()))
+    # a sentence whose most toxic word stands in clean documents, too, keeps the word that pointed at it
+    innocent = {w for s in clean for w in s}
+    witnesses = [max((w for w in s if w in seen or w not in innocent), key=lambda w: (w in seen, margins[w], w)) for s in toxic]
+    hard = first_rows(_margins(words.filter("clean > 0").select("word"), first).filter("margin > -1"), HARD_WORDS, F.col("word"), F.floor(F.col("margin") * 50).cast("int"))
+    table, bias = learned(witnesses, [w["word"] for w in hard.collect()])
     model = ToxicityModel(table, bias, flat.document)
     got = _features(sample, model, scored=False).toPandas().sort_values(["_id", "f1", "f2", "f3"], kind="stable")
+    for table_ in (known, sample, words, bags):
+        drop_stored(table_)
     if got["_y"].nunique() < 2:
         return flat
-    return ToxicityModel(table, bias, logistic(got[["f1", "f2", "f3"]].to_numpy(float), got["_y"].to_numpy(float)))
+    return ToxicityModel(table, bias, rising(got[["f1", "f2", "f3"]].to_numpy(float), got["_y"].to_numpy(float)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

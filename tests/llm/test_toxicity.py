@@ -36,9 +36,24 @@ def test_kernel_like_brute_force():
 
 def test_folded_machine_is_the_kernel_machine():
     toxic = np.array([0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0])
-    table, bias = op.fit_machine(WORDS, toxic, np.ones(len(WORDS)), landmarks=8)
-    margins = op.ToxicityModel(table, bias, (0.0, 0.0, 0.0, 0.0)).margins(WORDS)
+    marks, beta, bias = op.fit_machine(WORDS, toxic, np.ones(len(WORDS)), landmarks=8)
+    margins = op.ToxicityModel(op.folded(marks, beta), bias, (0.0, 0.0, 0.0, 0.0)).margins(WORDS)
     assert (margins[toxic == 1] > margins[toxic == 0].max()).all()
+    assert {toxic[WORDS.index(m)] for m in marks} == {0, 1}
+    summed = [sum(b * brute_kernel(w, m) for b, m in zip(beta, marks)) + bias for w in WORDS]
+    assert np.allclose(margins, np.clip(summed, -op.MARGIN, op.MARGIN), atol=1e-3)
+
+
+def test_first_rows_keeps_to_its_bound(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3_000).select(F.col("id").alias("word"), (F.col("id") % 3).cast("int").alias("toxic"))
+    for most in (0, 10, 900, 1_500, 5_000):
+        got = op.first_rows(rows, most, F.col("word"), F.col("toxic")).collect()
+        assert len(got) == len(set(got)) <= most and len(got) >= min(3_000, 0.9 * most - 3)
+        ranks = sorted((r.toxic for r in got), reverse=True)
+        assert ranks == sorted([2] * 1_000 + [1] * 1_000 + [0] * 1_000, reverse=True)[: len(got)]
+        assert sorted(got) == sorted(op.first_rows(rows.repartition(5), most, F.col("word"), F.col("toxic")).collect())
 
 
 def sample(seed, n):
