@@ -196,9 +196,9 @@ def varied(word: str, r: random.Random) -> str:
 
 
 def document_features(margins: np.ndarray) -> list[float]:
-    """Largest and second largest margin of a document's words, repeats counted, up to the machine's own margin of 1, and how many are SURE or more."""
+    """Largest and second largest margin of a document's words, repeats counted, within the machine's own margin of 1 (of a missing word -MARGIN), and how many are SURE or more."""
     top = np.sort(np.partition(margins, -2)[-2:]) if len(margins) > 2 else np.sort(margins)
-    top = np.minimum(np.concatenate((np.full(2 - len(top), -MARGIN), top)), 1)
+    top = np.concatenate((np.full(2 - len(top), -MARGIN), np.clip(top, -1, 1)))
     return [float(top[1]), float(top[0]), float(np.log1p((margins >= SURE).sum()))]
 
 
