@@ -15,7 +15,7 @@ from lodestack.llm.common import WORD, sent, stored
 #: No document, shard or source is taken more often than this.
 MOST_EPOCHS = 3
 #: Rows of a source that share a shard, about. A shard is ordered in one task.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 #: Words of a block: the largest power of two up to this that is a hundredth of the smallest target or less.
 BLOCK_WORDS = 1_024
 
