@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from lodestack.llm import shingle_dedup as op
 from lodestack.llm.mixing import capped_targets
@@ -55,6 +57,23 @@ def test_a_large_group_of_near_copies(spark):
     assert {x.component_id for x in op.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
+@pytest.mark.parametrize("held", [2_000, 7])
+def test_many_texts_that_share_keys_and_are_hardly_alike(spark, monkeypatch, held):
+    """Copies at both sides of the similarity, so most share keys and few are linked; blocks of any size find the same links."""
+    monkeypatch.setattr(op, "HELD", held)
+    r = random.Random(9)
+    base = [f"w{r.randrange(3_000)}" for _ in range(300)]
+    rows = []
+    for k in range(70):
+        copy = list(base)
+        for _ in range(r.randrange(4, 9)):
+            copy[r.randrange(300)] = f"own{k}x{r.randrange(9)}"
+        rows.append((k, " ".join(copy), "x"))
+    got = {x.doc_id: x.component_id for x in op.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute([(i, t) for i, t, _ in rows])
+    assert got == want and 1 < len(set(want.values())) < 70
+
+
 def test_null_ids_and_empty_table(spark):
     assert op.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, "a b c d", None), (3, "a b c d", None), (3, "a b c d", None), (None, "z", None)]
