@@ -43,3 +43,11 @@ def test_kept_rows(spark):
     out = kept_rows(df)
     assert out.columns == df.columns
     assert sorted(((r.doc_id or -1, r.text or "") for r in out.collect())) == [(-1, ""), (3, "a  b"), (3, "other"), (8, "x")]
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    schema = "doc_id long, text string, _h string, _turn int, _of string, _kept boolean, key string, turn int, row int"
+    rows = [(1, "a  b", "h", 7, "o", True, "k", 8, 9), (2, "a b", "i", 6, "p", False, "l", 5, 4), (1, "a  b", "h", 7, "o", True, "k", 8, 9), (None, None, "z", 0, None, None, None, None, None)]
+    got = kept_rows(spark.createDataFrame(rows, schema))
+    assert got.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[3]], key=repr)

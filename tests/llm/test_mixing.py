@@ -87,3 +87,17 @@ def test_rows_of_the_mix(spark):
     taken = {r.doc_id: (r.taken, r.size) for r in op.mix(df).collect()}
     assert all(abs(copies.get(i, 0) * n - t) <= n / 2 for i, (t, n) in taken.items())
     assert sum(copies.get(i, 0) * n != t for i, (t, n) in taken.items()) <= 5
+
+
+def test_sources_and_shards_are_one_key_of_the_order(spark):
+    df = spark.createDataFrame(sample(3), SCHEMA)
+    plan = op.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_cell" in plan and "Window" in plan
+    assert "hashpartitioning(_source" not in plan
+
+
+def test_rows_of_the_mix_keep_columns_of_any_name(spark):
+    schema = "doc_id long, text string, source string, _key string, _cell int, rounds int, last int, row int"
+    rows = [(k, "w " * 5, "ab"[k % 2], "x", 1, 2, 3, k) for k in range(6)]
+    got = op.mixed_rows(spark.createDataFrame(rows, schema))
+    assert got.columns == [c.split(" ")[0] for c in schema.split(", ")] and {r["row"] == r["doc_id"] for r in got.collect()} == {True}
