@@ -1,9 +1,9 @@
-"""License scans: lines and whole texts compared with license templates by Dice coefficient of word bigrams."""
+"""License scans: lines, whole texts and passages compared with license templates by Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,53 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 THRESHOLD = 0.8
 
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Texts of licenses and the notices that their authors ask for, whole.
+WHOLE_TEXTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and '
+        "limitations under the License.",
+    ),
+    "BSD-2-Clause": (_BSD_START + _BSD_END,),
+    "BSD-3-Clause": (_BSD_START + _BSD_THIRD + _BSD_END,),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and "
+        'this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the '
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        'included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+}
+#: What scan_passages() seeks: notices and whole texts.
+PASSAGES = {name: TEMPLATES.get(name, ()) + WHOLE_TEXTS.get(name, ()) for name in sorted({*TEMPLATES, *WHOLE_TEXTS})}
+
 
 def normalise(text: Column) -> Column:
     """Lower-case letters and digits, all else one space, trimmed."""
@@ -101,3 +148,74 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _distinct(words: Column) -> Column:
     """A lower bound of the number of distinct bigrams: no text has fewer of them than distinct words less one."""
     return F.size(F.array_distinct(words)) - 1
+
+
+def scan_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: id_col, licenses (array of names in order), n_passages, best_dice, passages (array of structs first, last, license, dice, in text order).
+
+    Passages are runs of normalised words (first to last, counted from 1), wherever they stand: wrapped over lines or within a paragraph. A run is held against a template by the Dice
+    coefficient of their sets of bigrams; runs have at least t / (2 - t) times the template's set and at most (2 - t) / t times all its bigrams. From each start the best end
+    counts, of equal ones the nearest. Passages do not overlap: the highest coefficient goes first, then the longer run, the earlier one, the name; so of templates that are
+    like one another only the best is reported for a passage.
+    A changed text whose first lines are a notice unchanged gives two passages, of one license: the notice and the rest.
+
+    The same bound prunes templates: one meets a text only if the text holds t / (2 - t) of the template's bigrams at all, and a start only if they follow it within the longest run.
+    A run that starts or ends with a bigram foreign to the template is never better than without it, so only the template's own bigrams are starts and ends. It happens in the scan,
+    row by row, without a shuffle. Null and empty texts give an empty array, 0 and 0; repeated rows are scanned alike; other columns are ignored. Templates need two words.
+    """
+    known = []
+    for name in sorted(templates):
+        for form in templates[name]:
+            own, n = _plain(form), len("".join(c if c.isalnum() else " " for c in form.lower()).split()) - 1
+            if n < 1:
+                raise ValueError(f"a template of {name} has fewer than two words")
+            known.append((name, own, max(1, math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)), math.floor(n * (2 - threshold) / threshold + 1e-9)))
+    literal = [
+        F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("grams"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, own, low, high in known
+    ]
+    vocabulary = F.array(*map(F.lit, sorted({g for _, own, _, _ in known for g in own})))
+    kind = "array<struct<dice:double,length:int,first:int,license:string,last:int>>"
+    none = F.array().cast(kind)
+
+    def bound(x: Column, of: Callable[[Column], Column]) -> Column:
+        """of(x) with x computed once: a filter on the result is pushed below projections and would repeat what they name."""
+        return F.transform(F.array(x), of)[0]
+
+    def pairs_of(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat_ws(" ", F.get(words, k - 1), F.get(words, k)))
+        return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+    def run(pairs: Column, t: Column, p: Column, q: Column) -> Column:
+        dice = lambda part: 2.0 * F.size(F.array_intersect(part, t["grams"])) / (F.size(F.array_distinct(part)) + F.size(t["grams"]))
+        return F.struct(bound(F.slice(pairs, p, q - p + 1), dice).alias("dice"), (-q).alias("end"))
+
+    def from_start(pairs: Column, t: Column, at: Column, p: Column) -> Column:
+        ends = F.filter(at, lambda q: (q - p + 1 >= t["low"]) & (q - p < t["high"]))
+        # the fields in the order in which passages are taken
+        named = lambda b: F.struct((-b["dice"]).alias("dice"), (p + b["end"]).alias("length"), p.alias("first"), t["license"].alias("license"), (1 - b["end"]).alias("last"))
+        return bound(F.array_max(F.transform(ends, lambda q: run(pairs, t, p, q))), named)
+
+    def of_template(pairs: Column, t: Column) -> Column:
+        def found(at: Column) -> Column:
+            # places ascend, so a start is followed by enough of them if the one `low` - 1 places on is near
+            near = F.filter(F.transform(at, lambda p, k: F.struct(p.alias("p"), F.get(at, k + t["low"] - 1).alias("q"))), lambda s: s["q"] - s["p"] < t["high"])
+            return F.filter(F.transform(near, lambda s: from_start(pairs, t, at, s["p"])), lambda m: m["dice"] <= -threshold)
+
+        return bound(F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda k: F.array_contains(t["grams"], F.get(pairs, k - 1))), found)
+
+    def runs_of(pairs: Column) -> Column:
+        met = lambda seen: F.filter(F.array(*literal), lambda t: F.size(F.array_intersect(seen, t["grams"])) >= t["low"])
+        return F.array_sort(F.flatten(F.transform(bound(F.array_intersect(pairs, vocabulary), met), lambda t: of_template(pairs, t)))).cast(kind)
+
+    words = F.split(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), " ")
+    runs = bound(bound(words, pairs_of), runs_of)
+    free = lambda taken, m: ~F.exists(taken, lambda o: (o["first"] <= m["last"]) & (m["first"] <= o["last"]))
+    taken = F.aggregate(runs, none, lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
+    found = F.array_sort(F.transform(taken, lambda m: F.struct(m["first"], m["last"], m["license"], (-m["dice"]).alias("dice"))))
+    return docs.select(F.col(id_col).alias("_id"), found.alias("_found")).select(
+        F.col("_id").alias(id_col),
+        F.array_sort(F.array_distinct(F.transform("_found", lambda m: m["license"]))).alias("licenses"),
+        F.size("_found").cast("bigint").alias("n_passages"),
+        F.coalesce(F.array_max(F.transform("_found", lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"),
+        F.col("_found").alias("passages"),
+    )
