@@ -204,8 +204,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # short rows, and each becomes 64: dealt over all tasks, as adaptive execution would leave them to a few
-    roots = components(links(classes.select("fp").repartition("fp")), "a", "b")
+    # short rows, and each becomes 64: dealt over all tasks. By number, as adaptive execution leaves short rows to a few tasks otherwise, and
+    # by a hash of its own, as an exchange by the column that the rows are grouped by is taken for needless and removed
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(links(classes.select("fp").repartition(tasks, F.xxhash64("fp"))), "a", "b")
     owned = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root")
     )
