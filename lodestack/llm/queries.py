@@ -17,6 +17,7 @@ from lodestack.llm.quote_linking import reply_order
 from lodestack.llm.sentencepiece_unigram import encode_documents, load_vocabulary
 from lodestack.llm.simhash import document_fingerprints
 from lodestack.llm.simhash_dedup import near_dedup
+from lodestack.llm.token_alignment import align_tokenizers
 from lodestack.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("hash128")
 
 
+@query
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL["op10_exact_dedup"] = """
 WITH d AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents
