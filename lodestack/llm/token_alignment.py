@@ -12,11 +12,13 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,22 +32,27 @@ BYTE_PATH, PIECE_PATH = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.
 #: How byte-level tokenizers of this kind cut texts before merging, and the mark that stands for a space in pieces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"
-#: Characters of text that are aligned at a time, characters of a block, whose pairs are numbered together, and pieces that a worker remembers.
-SLAB, BLOCK, REMEMBERED = 4 << 20, 32 << 20, 300_000
+#: Characters of text that are aligned at a time, characters of a block, whose pairs are told together, and pieces that a worker remembers.
+SLAB, BLOCK, REMEMBERED = 4 << 20, 32 << 20, 400_000
+#: Pairs of ids that a worker numbers before it begins anew.
+NUMBERED = 4 << 20
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 #: Of a slab's tokens `a` and `b` (i, id, start, stop over the same bytes): each with the number g of its group. A group ends where tokens of both end; a
-#: running sum over these ends numbers the groups, B's tokens fall into them by an ASOF join, A's by a range join over the intervals.
+#: running sum over these ends numbers the groups. A's tokens fall into them by an ASOF join; so do B's: by equality where one is a whole group, else by a range join.
 _GROUPS = """
 CREATE OR REPLACE TEMP TABLE cut AS
     SELECT sum(ends) OVER (ORDER BY stop)::BIGINT AS g, lag(stop, 1, 0) OVER (ORDER BY stop) AS start, stop
     FROM (SELECT a.stop, 1 AS ends FROM a SEMI JOIN b ON a.stop = b.stop);
-CREATE OR REPLACE TEMP TABLE ga AS SELECT a.i, a.id, g FROM a JOIN cut ON a.start >= cut.start AND a.stop <= cut.stop;
-CREATE OR REPLACE TEMP TABLE gb AS SELECT b.i, b.id, g FROM b ASOF JOIN cut ON b.start >= cut.start;
+CREATE OR REPLACE TEMP TABLE ga AS SELECT a.i, a.id, g FROM a ASOF JOIN cut ON a.start >= cut.start;
+CREATE OR REPLACE TEMP TABLE gb AS
+    SELECT b.i, b.id, g FROM b JOIN cut USING (start, stop)
+    UNION ALL SELECT s.i, s.id, w.g
+    FROM (SELECT * FROM b ANTI JOIN cut USING (start, stop)) s JOIN (SELECT * FROM cut ANTI JOIN b USING (start, stop)) w ON s.start >= w.start AND s.stop <= w.stop;
 """
-_TOKENS = "SELECT g, side, id, lead(g || '-' || side, 1, '') OVER w = g || '-' || side AS more, side = 0 OR lead(g) OVER w IS NOT NULL AS any_more FROM (SELECT g, 0 AS side, i, id FROM ga UNION ALL SELECT g, 1, i, id FROM gb) WINDOW w AS (ORDER BY g, side, i)"
+_SIDE = "SELECT id, g FROM {} ORDER BY i"
 _LINKS = "SELECT g, (ga.id::BIGINT << 32) + gb.id AS pair, count(*) AS times FROM ga JOIN gb USING (g) GROUP BY ALL ORDER BY g"
 #: How often each document (place in the slab) has each pair, by its pieces.
 _OWN = """
@@ -92,97 +99,115 @@ def load_pieces(path: str) -> tuple[SentencePieceProcessor, list[bytes]]:
 
 
 class Aligner:
-    """Aligns pieces of text and remembers them. The pairs of ids seen have places, from 0; forget() begins anew."""
+    """Aligns pieces of text and remembers those that are used most. The pairs of ids seen have places, from 0; forget() begins anew."""
 
-    def __init__(self, byte_path: str, piece_path: str) -> None:
+    def __init__(self, byte_path: str, piece_path: str, remembered: int = REMEMBERED) -> None:
         self.a, self.bytes_a = load_bytewise(byte_path)
         self.b, self.bytes_b = load_pieces(piece_path)
         self.long_a, self.long_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1; SET memory_limit = '400MB'")
+        self.remembered = remembered
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.texts: list[str | None] = []  # of a piece's groups; None: its tokens do not spell it
         self.pairs: dict[int, int] = {}
-        self.sizes = [np.zeros((0, 4), np.int64)]  # of each piece: tokens of A and of B, groups, links
-        self.links = [np.zeros((0, 3), np.int64)]  # piece, place of the pair, times
-
-    def learn(self, new: Sequence[str]) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []  # of each piece: its groups, each with its end
+        self.right = np.zeros(0, bool)  # whether its tokens spell it
+        self.uses = np.zeros(0, np.int64)
+        self.sizes = np.zeros((0, 4), np.int64)  # tokens of A and of B, groups, links
+        self.ends = np.zeros(0, np.int64)  # of its links, each a place of a pair and how often
+        self.links = np.zeros((0, 2), np.int32)
+
+    def _trim(self) -> None:
+        """Keeps the half of the pieces that is used most."""
+        if len(self.known) <= self.remembered:
+            return
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.remembered // 2])
+        names = list(self.known)
+        n = np.diff(self.ends, prepend=0)
+        self.links = self.links[np.repeat(np.isin(np.arange(len(n)), keep), n)]
+        self.known = {names[k]: j for j, k in enumerate(keep.tolist())}
+        self.groups = [self.groups[k] for k in keep.tolist()]
+        self.right, self.uses, self.sizes, self.ends = self.right[keep], self.uses[keep] // 2, self.sizes[keep], np.cumsum(n[keep])
+
+    def learn(self, new: Iterable[str]) -> None:
         """Aligns pieces that are not known yet."""
         spaced = [p for p in new if p[-1].isspace()]  # what follows would be read with their end, so each is encoded alone
-        joined = [p for p in new if not p[-1].isspace()]
-        for own in [*pieces(joined), *([p] for p in spaced)]:
+        for own in [*pieces([p for p in new if not p[-1].isspace()]), *([p] for p in spaced)]:
             self._align(own)
 
     def _align(self, own: list[str]) -> None:
         data = [p.encode() for p in own]
         coded = self.b.encode([p[1:] for p in own], num_threads=1)  # it puts a space before all but an empty text
         coded = [ids if len(p) > 1 else [self.b.piece_to_id(MARK)] for p, ids in zip(own, coded)]
-        right = [b"".join(map(self.bytes_b.__getitem__, ids)) == d for ids, d in zip(coded, data)]
-        if not all(right):
-            for p, good in zip(own, right):
-                if not good:
-                    self._keep([p], np.zeros((1, 4), np.int64), [None], np.zeros((0, 3), np.int64))
-            own, data, coded = ([x for x, good in zip(xs, right) if good] for xs in (own, data, coded))
-        if not own:
-            return
-        a, b = np.array(self.a.encode_ordinary("".join(own)), np.int64), np.concatenate([np.asarray(x, np.int64) for x in coded])
-        ends = np.cumsum(list(map(len, data)))
-        stops = {}
+        b = np.fromiter(chain.from_iterable(coded), np.int64)
+        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != b"".join(data):
+            right = [b"".join(map(self.bytes_b.__getitem__, ids)) == d for ids, d in zip(coded, data)]
+            wrong = [p for p, good in zip(own, right) if not good]
+            if wrong:
+                self._keep(wrong, False, np.zeros((len(wrong), 4), np.int64), [""] * len(wrong), np.zeros(len(wrong), np.int64), np.zeros((0, 2), np.int32))
+                own = [p for p, good in zip(own, right) if good]
+                if own:
+                    self._align(own)
+                return
+        a, ends = np.array(self.a.encode_ordinary("".join(own)), np.int64), np.cumsum(list(map(len, data)))
         for name, ids, long in (("a", a, self.long_a), ("b", b, self.long_b)):
-            stop = stops[name] = np.cumsum(long[ids])
+            stop = np.cumsum(long[ids])
             self.con.register(name, pa.table({"i": np.arange(len(ids)), "id": ids, "start": stop - long[ids], "stop": stop}))
-        if stops["a"][-1] != ends[-1] or not np.isin(ends, stops["a"]).all():
-            raise ValueError("byte-level tokens do not end where pieces of text do")
+            if not np.isin(ends, stop).all() or stop[-1] != ends[-1]:
+                raise ValueError("tokens do not end where pieces of text do")
         self.con.execute(_GROUPS)
-        tokens, links = self.con.sql(_TOKENS).to_arrow_table(), self.con.sql(_LINKS).to_arrow_table()
-        last = self.con.sql("SELECT stop FROM cut ORDER BY g").to_arrow_table()["stop"].to_numpy()  # the end of group g is last[g - 1]
-
-        def of(groups: pa.ChunkedArray) -> np.ndarray:  # the piece of each group
-            return np.searchsorted(ends, last[groups.to_numpy().astype(np.int64) - 1])
-
-        piece, side = of(tokens["g"]), tokens["side"].to_numpy()
-        marks = np.where(tokens["more"].to_numpy(zero_copy_only=False), ",", np.where(side == 0, "|", ";"))
-        spelled = list(map("".join, zip(map(str, tokens["id"].to_pylist()), marks.tolist())))
-        at = np.searchsorted(piece, np.arange(len(own) + 1))
-        texts = ["".join(spelled[at[k] : at[k + 1]])[:-1] for k in range(len(own))]
-        held = of(links["g"])
-        found = links["pair"].to_pylist()
-        for pair in set(found):
-            self.pairs.setdefault(pair, len(self.pairs))
-        times = links["times"].to_numpy()
-        n = [np.bincount(piece[side == s], minlength=len(own)) for s in (0, 1)]
-        n += [np.bincount(np.searchsorted(ends, last), minlength=len(own)), np.bincount(held, times, len(own)).astype(np.int64)]
-        self._keep(own, np.stack(n, 1).astype(np.int64), texts, np.stack([held, np.fromiter(map(self.pairs.__getitem__, found), np.int64, len(found)), times], 1))
-
-    def _keep(self, own: list[str], sizes: np.ndarray, texts: list, links: np.ndarray) -> None:
-        first = len(self.texts)
+        links = self.con.sql(_LINKS).to_arrow_table()
+        # of each group, by its number from 1, the piece it is in
+        piece_of = np.r_[0, np.searchsorted(ends, self.con.sql("SELECT stop FROM cut ORDER BY g").to_arrow_table()["stop"].to_numpy())]
+        sides = [self.con.sql(_SIDE.format(x)).to_arrow_table() for x in ("ga", "gb")]
+        numbers = [x["g"].to_numpy() for x in sides]
+        key = np.concatenate([numbers[0] * 2, numbers[1] * 2 + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        # what stands behind a token: a comma within its side of a group, then the bar, then the end of the group
+        marks = pa.array([",", "|", ";"]).take(pa.array(np.where(np.r_[key[1:] == key[:-1], False], 0, 1 + key % 2)))
+        ids = pa.array(np.concatenate([x["id"].to_numpy() for x in sides])[order]).cast(pa.string())
+        at = np.searchsorted(piece_of[key // 2], np.arange(len(own) + 1)).astype(np.int32)
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), pc.binary_join_element_wise(ids, marks, "")), "").to_pylist()
+        pair, inverse = np.unique(links["pair"].to_numpy(), return_inverse=True)
+        places = np.array([self.pairs.setdefault(x, len(self.pairs)) for x in pair.tolist()], np.int64)
+        held, times = piece_of[links["g"].to_numpy()], links["times"].to_numpy()
+        n = [*(np.bincount(piece_of[x], minlength=len(own)) for x in numbers), np.bincount(piece_of[1:], minlength=len(own)), np.bincount(held, times, len(own)).astype(np.int64)]
+        self._keep(own, True, np.stack(n, 1), groups, np.bincount(held, minlength=len(own)), np.stack([places[inverse], times], 1))
+
+    def _keep(self, own: list[str], right: bool, sizes: np.ndarray, groups: list[str], n_links: np.ndarray, links: np.ndarray) -> None:
+        first = len(self.groups)
         self.known.update(zip(own, range(first, first + len(own))))
-        self.texts += texts
-        self.sizes.append(sizes)
-        self.links.append(links + np.array([first, 0, 0]))
+        self.groups += groups
+        self.right, self.uses = np.r_[self.right, np.full(len(own), right)], np.r_[self.uses, np.zeros(len(own), np.int64)]
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ends = np.r_[self.ends, np.cumsum(n_links) + len(self.links)]
+        self.links = np.concatenate([self.links, links.astype(np.int32)])
 
     def align(self, texts: Sequence[str]) -> tuple[np.ndarray, list[str], pa.Table]:
         """Of each text the sizes (tokens of A, of B, groups, links) and the hash of its groups; and (doc, place, times): how often each text links each pair."""
+        self._trim()
         cut = [cut_text(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in self.known))
-        self.learn(new)
-        self.sizes, self.links = [np.concatenate(self.sizes)], [np.concatenate(self.links)]
-        numbers = [list(map(self.known.__getitem__, c)) for c in cut]
-        hashes = []
-        for k, own in enumerate(numbers):
-            groups = [self.texts[x] for x in own]
-            if None in groups:
-                groups = numbers[k] = []
-            hashes.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
-        doc = np.repeat(np.arange(len(texts)), list(map(len, numbers)))
-        words = np.array([x for own in numbers for x in own], np.int64)
-        sizes = np.stack([np.bincount(doc, self.sizes[0][words, j], len(texts)).astype(np.int64) for j in range(4)], 1)
-        used = self.links[0][np.isin(self.links[0][:, 0], words)]
+        self.learn(set(chain.from_iterable(cut)).difference(self.known))
+        hashes, numbers, wrong = [], [], set(np.flatnonzero(~self.right).tolist())
+        for c in cut:
+            own = list(map(self.known.__getitem__, c))
+            if wrong and not wrong.isdisjoint(own):
+                own = []
+            numbers.append(own)
+            hashes.append(hashlib.sha256("".join(map(self.groups.__getitem__, own))[:-1].encode()).hexdigest() if own else "")
+        n = list(map(len, numbers))
+        doc, words = np.repeat(np.arange(len(texts)), n), np.fromiter(chain.from_iterable(numbers), np.int64, sum(n))
+        self.uses += np.bincount(words, minlength=len(self.uses))
+        sizes = np.stack([np.bincount(doc, self.sizes[words, j], len(texts)).astype(np.int64) for j in range(4)], 1)
+        used, long = np.zeros(len(self.uses), bool), np.diff(self.ends, prepend=0)
+        used[words] = True
+        links = self.links[np.repeat(used, long)]
         self.con.register("words", pa.table({"doc": doc, "k": words}))
-        self.con.register("links", pa.table({n: used[:, j] for j, n in enumerate(("k", "place", "times"))}))
+        self.con.register("links", pa.table({"k": np.repeat(np.flatnonzero(used), long[used]), "place": links[:, 0], "times": links[:, 1]}))
         return sizes, hashes, self.con.sql(_OWN).to_arrow_table()
 
 
@@ -213,7 +238,6 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, byte_path: str, piece_pa
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_path, piece_path)
         task, number, chars, held = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.int64)
-        own.forget() if len(own.known) > REMEMBERED else None
         kinds = None
 
         def summary() -> pa.RecordBatch:
@@ -229,11 +253,12 @@ def _parts(docs: DataFrame, id_col: str, text_col: str, byte_path: str, piece_pa
             kinds = [batch.column(0).type, *[pa.int64()] * 4, pa.string(), pa.int32(), pa.binary(), pa.binary()]
             texts, at = batch.column(1).to_pylist(), 0
             for part in pieces(texts, slab):
-                if chars > block or len(own.known) > REMEMBERED:
+                if chars > block or len(own.pairs) > NUMBERED:
                     if chars:
                         yield summary()
                     number, chars, held = number + 1, 0, np.zeros(0, np.int64)
-                    own.forget() if len(own.known) > REMEMBERED else None
+                    if len(own.pairs) > NUMBERED:
+                        own.forget()
                 sizes, hashes, links = own.align(part)
                 doc, place, times = (links[c].to_numpy() for c in ("doc", "place", "times"))
                 held = np.pad(held, (0, len(own.pairs) - len(held))) + np.bincount(place, minlength=len(own.pairs))

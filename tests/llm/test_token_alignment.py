@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow.compute as pc
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -93,12 +94,17 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_worker_that_forgets(spark, both, monkeypatch):
-    from lodestack.llm import token_alignment as T
-
-    monkeypatch.setattr(T, "REMEMBERED", 5)  # sent along with the functions of this module that tasks run
-    own = T.Aligner(BYTE_PATH, PIECE_PATH)
-    first = own.align(["one two three", "two ▁"])
-    own.forget()
-    again = own.align(["one two three", "two ▁"])
-    assert (first[0] == again[0]).all() and first[1] == again[1] and first[1][1] == "" and first[2].equals(again[2])
+def test_worker_that_forgets():
+    from lodestack.llm.token_alignment import Aligner
+
+    texts = ["one two three", "two ▁", "one two two four", None, "five six  seven\n"] * 2
+    own, short = Aligner(BYTE_PATH, PIECE_PATH), Aligner(BYTE_PATH, PIECE_PATH, remembered=4)
+    whole = own.align(texts)
+    for k, text in enumerate(texts):  # pieces go after each text; pairs keep their places
+        sizes, hashes, links = short.align([text])
+        assert (sizes[0] == whole[0][k]).all() and hashes[0] == whole[1][k]
+        pairs = [{n: p for p, n in x.pairs.items()} for x in (own, short)]
+        want = whole[2].filter(pc.equal(whole[2]["doc"], k)).to_pydict()
+        got = links.to_pydict()
+        assert {pairs[1][p]: n for p, n in zip(got["place"], got["times"])} == {pairs[0][p]: n for p, n in zip(want["place"], want["times"])}
+        assert len(short.known) <= 4 + 6
