@@ -22,12 +22,13 @@ COLUMNS = {
     "op9_quality": "doc_id held_out score predicted",
     "op10_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op11_align_tokenizers": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_line_dedup": "doc_id n_lines n_dropped kept_sha256",
 }
 
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 12)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
 
 
