@@ -206,6 +206,18 @@ def data_url(content: Column, mime: str = "image/png") -> Column:
 SHOWN_IDS = 64
 
 
+def quoted(text: Column) -> Column:
+    """text as a literal: in single quotes, or in double ones if it has the former and not the latter; back strokes, line ends, tabs and other control characters are spelled."""
+    double = text.contains("'") & ~text.contains('"')
+    spelled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for sign, name in (("\n", "n"), ("\r", "r"), ("\t", "t")):
+        spelled = F.replace(spelled, F.lit(sign), F.lit("\\" + name))
+    for code in (*range(9), 11, 12, *range(14, 32), *range(127, 161), 173):
+        spelled = F.replace(spelled, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    mark = F.when(double, '"').otherwise("'")
+    return F.concat(mark, F.when(double, spelled).otherwise(F.replace(spelled, F.lit("'"), F.lit("\\'"))), mark)
+
+
 def chosen_decoding(candidates: Column, ids: Column | None = None, unknown: str = "<unk>") -> Column:
     """The first candidate with text, one leading unknown token taken off, from behind its last `Answer:`; if nothing is left and ids are given, a note with the last candidate and the ids."""
     cleaned = F.transform(candidates, lambda t: bound(strip(t), lambda s: F.when(s.startswith(unknown), strip(F.substring(s, F.lit(len(unknown) + 1), F.length(s)))).otherwise(s)))
@@ -215,7 +227,7 @@ def chosen_decoding(candidates: Column, ids: Column | None = None, unknown: str
         return text
     raw = F.coalesce(strip(F.try_element_at(candidates, F.lit(-1))), F.lit(""))
     shown = F.array_join(F.transform(F.slice(ids, 1, SHOWN_IDS), lambda i: i.cast("string")), ", ")
-    note = F.concat(F.lit("[empty decoded output] raw='"), raw, F.lit("' token_ids=["), shown, F.lit("]"))
+    note = F.concat(F.lit("[empty decoded output] raw="), quoted(raw), F.lit(" token_ids=["), shown, F.lit("]"))
     return bound(text, lambda t: F.when(t != "", t).otherwise(note))
 
 
@@ -274,10 +286,11 @@ def reply_text(response: Column, include_reasoning: bool = False, reasoning_as_c
     text = with_reasoning(content, reasoning) if include_reasoning else content
     if reasoning_as_content:
         text = filled(text, reasoning)
+    ended = F.concat(F.lit(" (finish_reason="), F.coalesce(F.try_variant_get(v, "$.choices[0].finish_reason", "string"), F.lit("None")), F.lit("): "))
     why = (
         F.when(F.try_variant_get(v, "$.choices[0]", "variant").isNull(), F.concat(F.lit("response has no choices: "), F.substring(response, 1, 1000)))
-        .when(reasoning != "", F.concat(F.lit("response has reasoning and no content: "), F.substring(reasoning, 1, 500)))
-        .otherwise(F.concat(F.lit("response has an empty message: "), F.substring(response, 1, 1000)))
+        .when(reasoning != "", F.concat(F.lit("response has reasoning and no content"), ended, quoted(F.substring(reasoning, 1, 500))))
+        .otherwise(F.concat(F.lit("response has an empty message"), ended, F.substring(response, 1, 1000)))
     )
     return F.struct(text.alias("text"), F.when(text.isNull(), why).alias("error"))
 

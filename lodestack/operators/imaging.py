@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import bound
+from lodestack.operators.quantiles import exact_percentiles, finite
 
 #: Percentiles of the robust range, the least span, and the largest sides for requests and for training.
 LOW, HIGH, LEAST_SPAN = 0.01, 0.99, 1e-6
@@ -18,19 +19,11 @@ REQUEST_SIDE, TRAINING_SIDE = 1280, 512
 ALPHA, THRESHOLD = 0.45, 0.5
 
 
-def finite(value: Column) -> Column:
-    """value, or null if it is no finite number."""
-    v = value.cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-
-
 def robust_range(pixels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """(by, low, high, median, smallest, largest) of finite values, exact percentiles with linear interpolation."""
-    v = finite(F.col(value))
-    p = F.percentile(v, F.array(F.lit(LOW), F.lit(0.5), F.lit(HIGH)))
-    return pixels.groupBy(*by).agg(p.alias("p"), F.min(v).alias("smallest"), F.max(v).alias("largest")).select(
-        *by, F.col("p")[0].alias("low"), F.col("p")[1].alias("median"), F.col("p")[2].alias("high"), "smallest", "largest"
-    )
+    """(by, low, high, median, smallest, largest) of finite values, exact percentiles with linear interpolation, found from counts alone (quantiles.py)."""
+    q = F.col("quantiles")
+    found = exact_percentiles(pixels, by, (LOW, 0.5, HIGH), value)
+    return found.select(*by, q[0].alias("low"), q[1].alias("median"), q[2].alias("high"), "smallest", "largest")
 
 
 def _bytes(value: Column, low: Column, span: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,6 +145,15 @@ def selected_archives(files: DataFrame, splits: Sequence[str] = ("all",), name:
     return files.filter(F.col(name).isin(*wanted))
 
 
+def union_of_splits(splits: Mapping[str, DataFrame]) -> DataFrame:
+    """The rows of several splits with `split` and `split_place`, the place of the split in the order given; order by it where the order matters. Columns that a split lacks are null.
+
+    No shuffle: each split is read by its own plan, with its own pushed filters.
+    """
+    parts = [rows.withColumn("split", F.lit(name)).withColumn("split_place", F.lit(k)) for k, (name, rows) in enumerate(splits.items())]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def folders_with(listing: DataFrame, names: Sequence[str], path: str = "path", every: bool = False) -> DataFrame:
     """(folder, complete): whether a folder holds any of the files, or with `every` all; names may lie deeper (adapter/model.bin). One aggregation of a few flags."""
     found = [F.col(path).endswith("/" + n) for n in names]

@@ -62,7 +62,7 @@ def q12_first_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT conv_id, turn, conv_id % 10 AS batch, list_transform(string_split(text, ''), lambda x: unicode(x)) AS ids FROM conversations WHERE text != ''),
-    p AS (SELECT conv_id, turn, batch, ids[1:12] AS prompt, ids[13:] AS answer FROM t WHERE len(ids) > 12),
+    p AS (SELECT conv_id, turn, batch, ids[1:12] AS prompt, ids[13:] AS answer FROM t WHERE len(ids[13:]) > 0),
     k AS (SELECT conv_id, turn, batch, answer[1:23] AS a, prompt FROM p),
     r AS (SELECT conv_id, turn, batch, a, list_slice(prompt, greatest(len(prompt) - (24 - len(a)) + 1, 1), len(prompt)) AS tail FROM k),
     z AS (SELECT *, max(len(tail) + len(a)) OVER (PARTITION BY batch) AS most FROM r)
@@ -71,10 +71,10 @@ def q12_first_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
         len(tail) + len(a) AS attended FROM z"""
 )
 def q30_batch_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code points as token ids: twelve of prompt, the rest answer, 24 in all at most, in ten batches."""
+    """Code points as token ids: twelve of prompt, the rest answer, 24 in all at most, in ten batches. Rows without an answer are refused by token_rows()."""
     ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), _code)
-    c = table(spark, sf_dir, "conversations").filter("text != ''").select("conv_id", "turn", (F.col("conv_id") % 10).alias("batch"), ids.alias("all"))
-    c = c.filter(F.size("all") > 12).select("conv_id", "turn", "batch", F.slice("all", 1, 12).alias("prompt_ids"), F.slice(F.col("all"), F.lit(13), F.size("all")).alias("answer_ids"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 10).alias("batch"), F.coalesce(ids, F.array().cast("array<int>")).alias("all"))
+    c = c.select("conv_id", "turn", "batch", F.slice("all", 1, 12).alias("prompt_ids"), F.slice(F.col("all"), F.lit(13), F.size("all")).alias("answer_ids"))
     out = L.padded(L.token_rows(c, most=24).filter("error is null"))
 
     def joined(name: str) -> Column:

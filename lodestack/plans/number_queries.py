@@ -10,8 +10,10 @@ from lodestack.functions.text import ANSWER_PROMPT, MERGE_PROMPT, QUESTION_PROMP
 from lodestack.operators import imaging as I
 from lodestack.operators import learning as L
 from lodestack.operators import raster as G
+from lodestack.operators.containment import points_in_polygons
+from lodestack.operators.outlines import label_lines, with_outlines
 from lodestack.plans.registry import query, table
-from lodestack.session import shared_dir
+from lodestack.session import gone_at_the_end, shared_dir
 
 
 def _six(x: Column) -> Column:
@@ -237,6 +239,7 @@ def q41_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    gone_at_the_end(spark, base)
     found = stream_to_parquet(windowed_counts(stream), f"{base}/table", f"{base}/checkpoint")
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -262,3 +265,45 @@ def q43_join_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     place = F.rank().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("orders"), "n_name"))
     return g.select("n_name", "o_orderpriority", "orders", F.round("t", 2).alias("total"), place.cast("bigint").alias("place"))
+
+
+#: A star of eight points, in tenths of its size.
+_STAR = ((-10, -10), (0, -4), (10, -10), (4, 0), (10, 10), (0, 4), (-10, 10), (-4, 0))
+
+
+@query(
+    f"""WITH p AS (SELECT o_orderkey, (o_orderkey * 37 % 1009)::DOUBLE AS x, (o_orderkey * 91 % 997)::DOUBLE AS y FROM orders),
+    v AS (SELECT s_suppkey, s_suppkey * 53 % 1009 AS cx, s_suppkey * 71 % 997 AS cy, s_suppkey % 4 + 1 AS r, [{", ".join(f"[{x}, {y}]" for x, y in _STAR)}] AS star FROM supplier),
+    e AS (SELECT s_suppkey, (cx + star[k + 1][1] * r + 0.5)::DOUBLE AS x, (cy + star[k + 1][2] * r + 0.5)::DOUBLE AS y, (cx + star[(k + 7) % 8 + 1][1] * r + 0.5)::DOUBLE AS px,
+        (cy + star[(k + 7) % 8 + 1][2] * r + 0.5)::DOUBLE AS py FROM (SELECT *, unnest(range(8)) AS k FROM v))
+    SELECT s_suppkey, o_orderkey FROM p JOIN e ON (e.y > p.y) != (e.py > p.y) AND p.x < (e.px - e.x) * (p.y - e.y) / (e.py - e.y + 0.000001::DOUBLE) + e.x
+    GROUP BY ALL HAVING count(*) % 2 = 1"""
+)
+def q66_points_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as points and suppliers as stars, met by grid cells."""
+    k = F.col("o_orderkey")
+    points = table(spark, sf_dir, "orders").select("o_orderkey", (k * 37 % 1009).cast("double").alias("x"), (k * 91 % 997).cast("double").alias("y"))
+    s = F.col("s_suppkey")
+    corner = lambda x, y: F.struct(*((s * m % n + v * (s % 4 + 1) + 0.5).alias(c) for m, n, v, c in ((53, 1009, x, "x"), (71, 997, y, "y"))))
+    stars = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(*(corner(x, y) for x, y in _STAR)).alias("outline"))
+    return points_in_polygons(points, stars, cell=16.0).select("s_suppkey", "o_orderkey")
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS k, k % 11 AS x0, k % 7 AS y0, k % 11 + k % 5 AS x1, k % 7 + k % 3 AS y1, 18 + k % 9 AS u0, k % 13 AS v0, 18 + k % 9 + k % 4 AS u1, k % 13 + k % 6 AS v1 FROM customer),
+    t AS (SELECT k, 1 AS side, y0 AS top, x0 AS a, y0 AS b, x1 AS c, y1 AS d FROM b UNION ALL SELECT k, 2, v0, u0, v0, u1, v1 FROM b),
+    l AS (SELECT k, side, top, '0 ' || array_to_string(list_transform([a, b, a, d, c, d, c, b], lambda v: printf('%.6f', v / 32::DOUBLE)), ' ') AS line FROM t WHERE a < c AND b < d)
+    SELECT c_custkey, coalesce(string_agg(line, '|' ORDER BY top, side), '') AS lines, count(line) AS regions FROM customer LEFT JOIN l ON k = c_custkey GROUP BY c_custkey"""
+)
+def q67_labels_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of two boxes for each customer, and the label lines of their outlines; a box of one row or column has none."""
+    k = F.col("c_custkey")
+
+    def cells(x: Column, y: Column, right: Column, down: Column) -> Column:
+        rows = F.transform(F.sequence(y, y + down), lambda v: F.transform(F.sequence(x, x + right), lambda u: F.struct(v.cast("int").alias("y"), u.cast("int").alias("x"))))
+        return F.flatten(rows)
+
+    both = F.concat(cells(k % 11, k % 7, k % 5, k % 3), cells(k % 9 + 18, k % 13, k % 4, k % 6))
+    masks = table(spark, sf_dir, "customer").select("c_custkey", F.lit(32).alias("height"), F.lit(32).alias("width"), G.mask(both).alias("values"))
+    lines = with_outlines(masks).select("c_custkey", label_lines(F.col("outlines"), F.col("height"), F.col("width")).alias("l"))
+    return lines.select("c_custkey", F.array_join("l", "|").alias("lines"), F.size("l").cast("bigint").alias("regions"))

@@ -204,12 +204,13 @@ class _Spotter:
     b AS (SELECT *, list_transform([n % 60, n % 50, n % 60 + 20, n % 50 + 30], lambda v: least(31, greatest(0, round_even(v / 100::DOUBLE * 31, 0)))::INT) AS c FROM g)
     SELECT n AS doc_id, CASE WHEN bad THEN 0 ELSE 1 + one::INT END AS detections, CASE WHEN one THEN ['fault', 'horizon', 'fault'][n % 3 + 1] WHEN NOT bad THEN 'fault' END AS first_label,
         CASE WHEN one THEN nullif(least(16, CASE WHEN n % 40 >= 32 THEN (n % 40 + 1) // 2 ELSE n % 40 END), 0) END AS outline, CASE WHEN bad THEN 'ValueError: cannot read img/' || n END AS error,
-        CASE WHEN bad THEN 0 WHEN NOT one OR n % 40 >= 3 THEN 2 ELSE (c[3] - c[1] + 1) * (c[4] - c[2] + 1) + (CASE WHEN 0 BETWEEN c[1] AND c[3] THEN 0 ELSE 2 END) END AS cells FROM b WHERE n % 50 >= 3 AND n % 60 >= 2"""
+        CASE WHEN bad THEN 0 WHEN NOT one OR n % 40 >= 3 THEN 2 ELSE (c[3] - c[1] + 1) * (c[4] - c[2] + 1) + 2
+            - greatest(0, least(c[3], 1) - greatest(c[1], 0) + 1) * (c[2] <= 1 AND c[4] >= 1)::INT END AS cells FROM b"""
 )
 def q52_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stand for images; every thirteenth cannot be read. Outlines of equal points enclose nothing; boxes are filled."""
     n = F.col("doc_id")
-    images = table(spark, sf_dir, "documents").filter((n % 50 >= 3) & (n % 60 >= 2)).select("doc_id", F.concat(F.lit("img/"), n.cast("string")).alias("image"))
+    images = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("img/"), n.cast("string")).alias("image"))
     found = providers.detected(images, _Spotter, {0: "fault", 1: "horizon"}, providers.GENERATION_CONFIDENCE)
     first = F.get("detections", F.lit(0))
     outline = F.when(F.size("detections") == 2, F.size(first["polygon_xy_sample"]))
@@ -231,14 +232,14 @@ def q53_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, lang, regexp_replace(left(text, 30), '[^a-zA-Z0-9]+', '', 'g') AS w FROM documents)
+    """WITH d AS (SELECT doc_id, lang, regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g') AS w FROM documents)
     SELECT 'i/' || doc_id AS image, 'Q ' || lang AS question, 'step ' || w || '. A ' || doc_id AS said, 1 AS steps, 0 AS detections, CASE WHEN doc_id % 2 = 0 THEN 'raw' ELSE 'A ' || doc_id END AS raw, 'B' AS second,
         'step ' || w || '. A ' || doc_id AS merged FROM d WHERE w != ''"""
 )
 def q54_chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat rows and instruction rows; a raw answer that is missing is the answer."""
     k, c = F.col("doc_id").cast("string"), F.col
-    w = F.regexp_replace(F.substring("text", 1, 30), "[^a-zA-Z0-9]+", "")
+    w = F.regexp_replace("text", "[^a-zA-Z0-9]+", "")
     d = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("i/"), k).alias("image"), F.concat(F.lit("Q "), c("lang")).alias("q"), F.array(F.concat(F.lit("step "), w, F.lit("..")), F.lit(" ")).alias("steps"),
         F.concat(F.lit("A "), k).alias("a"), F.when(c("doc_id") % 2 == 0, "raw").alias("raw"), w.alias("w"), F.lit(None).cast(DETECTIONS).alias("none"),
@@ -254,14 +255,14 @@ def q54_chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT ['train', 'val', 'test', 'extra'][(doc_id % 4)::INT + 1] AS split, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no' ELSE 'yes' END AS answer FROM documents WHERE doc_id % 4 != 2)
+    """WITH d AS (SELECT ['train', 'val', 'held', 'extra'][(doc_id % 4)::INT + 1] AS split, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no' ELSE 'yes' END AS answer FROM documents)
     SELECT s.split, (SELECT count(*) FROM d WHERE d.split = s.split) AS n, (SELECT count(*) FROM d WHERE d.split = s.split AND answer = 'yes') AS yes FROM (SELECT unnest(['train', 'val', 'test']) AS split) s"""
 )
 def q55_overlay_rows_per_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlay records by whether a label has content, and their number per wanted split; a split without rows counts 0."""
-    names = F.array(*map(F.lit, ("train", "val", "test", "extra")))
+    names = F.array(*map(F.lit, ("train", "val", "held", "extra")))
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").filter(k % 4 != 2).select(k.cast("string").alias("image"), F.get(names, (k % 4).cast("int")).alias("split"), F.when(k % 3 == 0, " \n").otherwise("0 1 2").alias("text"))
+    d = table(spark, sf_dir, "documents").select(k.cast("string").alias("image"), F.get(names, (k % 4).cast("int")).alias("split"), F.when(k % 3 == 0, " \n").otherwise("0 1 2").alias("text"))
     records = d.select(*R.overlay_record(F.col("image"), F.col("split"), P.label_path(F.lit("r"), F.col("split"), F.col("image")), F.col("text")))
     wanted = ("train", "val", "test")
     yes = P.rows_per_split(records.filter(F.col("answer") == R.OVERLAY_POSITIVE), wanted).select(F.col("split").alias("s"), F.col("n").alias("yes"))
@@ -270,27 +271,29 @@ def q55_overlay_rows_per_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT conv_id, turn, turn % 5 AS kind, trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')) AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN t = '' OR kind = 4 THEN NULL WHEN kind = 1 THEN 'a' || chr(10) || t ELSE t END AS text,
-        CASE WHEN kind = 4 THEN 'no choices' WHEN t = '' AND kind != 1 THEN 'empty' WHEN t = '' THEN 'empty' END AS error, CASE WHEN t = '' OR kind = 4 THEN NULL WHEN kind = 0 THEN ['why'] ELSE [] END AS reasoning FROM c WHERE NOT (t = '' AND kind IN (0, 1))"""
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN NULL WHEN kind = 1 THEN 'a' || CASE WHEN t = '' THEN '' ELSE chr(10) || t END WHEN t != '' THEN t END AS text,
+        CASE WHEN kind = 4 THEN 'no choices' WHEN t = '' AND kind = 0 THEN 'reasoning alone, stopped by length' WHEN t = '' AND kind != 1 THEN 'empty' END AS error,
+        CASE WHEN kind = 4 OR (t = '' AND kind != 1) THEN NULL WHEN kind = 0 THEN ['why'] ELSE [] END AS reasoning FROM c"""
 )
 def q56_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat responses in JSON: content as text, as a list, as the message's text; with reasoning beside it; or without choices."""
     t, kind = F.col("t"), F.col("turn") % 5
     plain = F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
 
-    def message(inner: Column) -> Column:
-        return F.concat(F.lit('{"choices": [{"message": '), inner, F.lit('}]}'))
+    def message(inner: Column, reason: str = "stop") -> Column:
+        return F.concat(F.lit('{"choices": [{"message": '), inner, F.lit(f', "finish_reason": "{reason}"}}]}}'))
 
     body = (
-        F.when(kind == 0, message(F.concat(F.lit('{"content": "'), t, F.lit('", "reasoning_content": " why "}'))))
+        F.when(kind == 0, message(F.concat(F.lit('{"content": "'), t, F.lit('", "reasoning_content": " why "}')), "length"))
         .when(kind == 1, message(F.concat(F.lit('{"content": [{"text": " a "}, {"type": "image"}, {"text": "'), t, F.lit('"}]}'))))
         .when(kind == 2, message(F.concat(F.lit('{"content": null, "text": "'), t, F.lit('"}'))))
         .when(kind == 3, message(F.concat(F.lit('{"content": "'), t, F.lit('"}'))))
         .otherwise(F.lit('{"choices": []}'))
     )
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("t")).filter(~((t == "") & kind.isin(0, 1)))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("t"))
     r = c.select("conv_id", "turn", T.reply_text(body).alias("r"), T.reply_text(body, include_reasoning=True).alias("w"))
-    why = F.when(F.col("r.error").startswith("response has no choices"), "no choices").when(F.col("r.error").isNotNull(), "empty")
+    alone = F.col("r.error").startswith("response has reasoning and no content (finish_reason=length)")
+    why = F.when(F.col("r.error").startswith("response has no choices"), "no choices").when(alone, "reasoning alone, stopped by length").when(F.col("r.error").isNotNull(), "empty")
     steps = F.when(F.col("w.text").isNotNull(), T.split_reasoning(F.col("w.text"))["reasoning"])
     own = F.when(F.col("w.text").startswith("{"), steps).when(F.col("w.text").isNotNull(), F.expr(T.NO_STEPS))
     return r.select("conv_id", "turn", "r.text", why.alias("error"), own.alias("reasoning"))
@@ -338,7 +341,7 @@ def q59_prefix_and_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings WHERE vec_id % 4 = 0),
+    """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings),
     p AS (SELECT vec_id, k, CASE WHEN vec_id % 20 = 0 THEN NULL WHEN k % 9 = 0 THEN NULL WHEN vec_id % 12 = 0 THEN 3::DOUBLE ELSE v END AS v FROM e),
     r AS (SELECT vec_id, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.99) AS high, min(v) AS a, max(v) AS z FROM p GROUP BY vec_id),
     n AS (SELECT vec_id, median, CASE WHEN high - low < 1e-6::DOUBLE THEN a ELSE low END AS low, CASE WHEN high - low < 1e-6::DOUBLE THEN z ELSE high END AS high FROM r)
@@ -346,7 +349,7 @@ def q59_prefix_and_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q60_scaled_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with values that are no finite numbers, with one value only, and with none."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0").select("vec_id", F.posexplode("embedding").alias("k", "v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v"))
     odd = F.when(F.col("vec_id") % 20 == 0, float("nan")).when(F.col("k") % 9 == 0, F.when(F.col("k") % 2 == 0, float("inf")).otherwise(float("nan")))
     value = odd.when(F.col("vec_id") % 12 == 0, 3.0).otherwise(F.col("v").cast("double"))
     scaled = I.scaled_image(e.select("vec_id", value.alias("value")), ["vec_id"])
@@ -408,13 +411,17 @@ def q64_upsampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.select("vec_id", F.size("u").cast("bigint").alias("cells"), (F.round(total, 4) + F.lit(0.0)).alias("checksum"))
 
 
+_TERMS = {n: "regexp_matches(t, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:" + terms + ")(?:$|[^\\p{L}\\p{N}_])')" for n, terms in (("cf", T.FAULT_TERMS), ("ab", T.ABSENCE_TERMS), ("oc", T.CERTAINTY_TERMS))}
+
+
 @query(
-    """WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[^a-zA-Z ]+', ' ', 'g')) AS t FROM documents)
-    SELECT doc_id % 3 AS k, count(*) AS n, count(*) FILTER (regexp_matches(t, '(?i)\\b(faults?|faulting)\\b') OR true) AS total FROM d GROUP BY 1"""
+    f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS t FROM documents),
+    f AS (SELECT doc_id, {", ".join(f"{x} AS {n}" for n, x in _TERMS.items())} FROM d),
+    v AS (SELECT doc_id, CASE WHEN NOT cf OR NOT ab THEN 'UNCERTAIN' WHEN oc THEN 'OVERCLAIM' ELSE 'SUPPORT' END AS label FROM f)
+    SELECT doc_id % 3 AS k, label, count(*) FILTER (label != 'OVERCLAIM') AS kept, count(*) FILTER (label = 'OVERCLAIM') AS removed, sum(doc_id)::BIGINT AS ids FROM v GROUP BY ALL"""
 )
 def q65_verdict_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept and removed rows of the rule verifier make up all rows, whatever the verdicts are."""
+    """Verdicts on whole texts without detections: each label's rows are either all kept or all removed. Texts are verified once."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast(DETECTIONS).alias("detections"))
-    v = C.verify(d, "text")
-    both = C.kept(v).select("doc_id").unionByName(v.filter("verification.remove").select("doc_id"))
-    return both.groupBy((F.col("doc_id") % 3).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("total"))
+    v = C.verify(d, "text").select("doc_id", "verification.label", "verification.remove")
+    return v.groupBy((F.col("doc_id") % 3).alias("k"), "label").agg(F.count_if(~F.col("remove")).alias("kept"), F.count_if("remove").alias("removed"), F.sum("doc_id").alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 from lodestack.functions.text import ANSWER_PROMPT, MERGE_PROMPT, QUESTION_PROMPT, detections_text, filled, path_order, rendered, split_reasoning
 from lodestack.operators.raster import detection_rows
 from lodestack.schemas import DETECTIONS
+from lodestack.session import written
 
 #: The answer that stands in for the second one where it was not asked for, and the sources of merged answers.
 NO_SECOND_ANSWER = "No second answer was generated for this sample."
@@ -132,6 +134,42 @@ def generate(images: DataFrame, generator: Callable[[], Generator], second: Call
     )
 
 
+#: Images of a round, at least.
+ROUND = 64
+
+
+def in_rounds(images: DataFrame, run: Callable[[DataFrame], DataFrame], limit: int, least: int = ROUND, image: str = "image") -> DataFrame:
+    """run(images) (for example generate()) of as many images in order of paths as give `limit` successes, round by round; further images are never sent to a model.
+
+    The rows are those of trying images one by one: the first `limit` successes, and the failures before the last of them; fewer where there are not so many. A round has
+    as many images as successes are short, or `least`, and is spread over the whole cluster; it starts only while successes are short. Its rows are written to the
+    shared folder, so that no reply is asked for twice; the driver sees two numbers a round. run must keep its input's columns and tell failures by `error`.
+    """
+    ordered = images.orderBy(path_order(F.col(image))).withColumn("_number", F.monotonically_increasing_id())
+    ordered = written(ordered, "images")
+    # places in order: a row's number within its partition, behind the rows of all partitions before it (one small row each)
+    part = F.shiftright("_number", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_number").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ordered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("_place", place).drop("_part", "_before", "_number")
+    total, got, at, done = ordered.count(), 0, 0, []
+    tasks = images.sparkSession.sparkContext.defaultParallelism
+    while got < limit and at < total:
+        to = min(total, at + max(least, limit - got))
+        rows = placed.filter((F.col("_place") >= at) & (F.col("_place") < to)).repartition(tasks, "_place")
+        made = written(run(rows), "round")
+        good = made.filter("error is null").select("_place")
+        if got + (n := good.count()) >= limit:
+            last = good.orderBy("_place").limit(limit - got).agg(F.max("_place")).first()[0]
+            made = made.filter(F.col("_place") <= F.lit(-1 if last is None else last))
+        done.append(made)
+        got, at = got + n, to
+    if not done:
+        return run(images.limit(0))
+    return functools.reduce(DataFrame.unionByName, done).drop("_place")
+
+
 def succeeded(rows: DataFrame) -> DataFrame:
     return rows.filter("error is null").drop("error")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,8 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):  # local-cluster has several processes
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-shared-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage is cut, and a lost executor costs no more than its tasks. It goes with drop_written(), or when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/lodestack/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    system, at = _located(df.sparkSession, path)
+    system.deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gone_at_the_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    system, at = _located(spark, path)
+    system.deleteOnExit(at)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes what written() wrote for df, which must not be read afterwards."""
+    for file in df.inputFiles()[:1]:
+        system, at = _located(df.sparkSession, file)
+        system.delete(at.getParent(), True)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import path_order, stem
 from lodestack.operators.pairing import IMAGE_SUFFIXES, has_suffix
 from lodestack.schemas import ARCHIVE_CATALOG, REPOSITORY_CATALOG, SPLIT_ROW
+from lodestack.sources.archives import ArchiveSource
+
+#: Bytes of a file that one value holds.
+MOST_CONTENT = (1 << 31) - (1 << 20)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,20 +49,9 @@ def read_images(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGE_
 
 
 def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, size, content) of the files in .tar.gz archives; an archive is read as a stream, one member at a time, in the task that has it."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with tarfile.open(fileobj=io.BytesIO(data.as_buffer()), mode="r|gz") as tar:
-                    for member in tar:
-                        if member.isfile():
-                            content = tar.extractfile(member).read()
-                            row = [pa.array([archive]), pa.array([member.name]), pa.array([len(content)], pa.int64()), pa.array([content], pa.binary())]
-                            yield pa.RecordBatch.from_arrays(row, ["archive", "member", "size", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:(?=/)", "").alias("archive"), "content")
-    return files.mapInArrow(of, "archive string, member string, size bigint, content binary")
+    """(archive, member, size, content) of the files in .tar.gz archives, each file whole; one of more than MOST_CONTENT bytes gives several rows, in order."""
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("archive").option("chunkBytes", MOST_CONTENT).load(path).drop("chunk")
 
 
 def checked_files(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
     spark.dataSource.register(VolumeSource)
     spark.read.format("volume").option("maxSlices", 10).load("/data/*.npz")
 
-Slices of a volume are read one at a time, so memory is bounded by a slice; volumes are read in parallel. Archives whose directory at the end is lost are read as far as they go.
+Volumes that are stored as they are are dealt to tasks by ranges of bytes, so that one volume feeds many; deflated ones are read whole by one task. Slices are read
+one at a time, or, from arrays in column-major order, in blocks of bounded memory. Archives whose directory at the end is lost are read as far as they go.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAGIC = b"\x93NUMPY"
 ZIP_MEMBER = b"PK\x03\x04"
 CHUNK = 1 << 20
+#: Bytes of a volume that one task reads, and bytes of the sections that are gathered at a time from a column-major array.
+SPLIT, GATHERED = 128 << 20, 64 << 20
 
 
 class Inflated:
@@ -54,14 +57,15 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path.removeprefix("file:")
 
 
-def listed(pattern: str) -> list[str]:
-    """Files of a pattern in order; below an address, the last part may have wildcards."""
+def listed(pattern: str) -> list[tuple[str, int]]:
+    """(path, size) of the files of a pattern in order; below an address, the last part may have wildcards."""
     if "://" not in pattern:
-        return sorted(glob.glob(pattern.removeprefix("file:")))
+        paths = sorted(glob.glob(pattern.removeprefix("file:")))
+        return [(f.path, f.size) for f in pafs.LocalFileSystem().get_file_info(paths) if f.is_file]
     folder, _, name = pattern.rpartition("/")
     system, root = located(folder)
     found = system.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    return sorted(f"{folder}/{f.base_name}" for f in found if f.is_file and fnmatch.fnmatchcase(f.base_name, name))
+    return sorted((f"{folder}/{f.base_name}", f.size) for f in found if f.is_file and fnmatch.fnmatchcase(f.base_name, name))
 
 
 def opened(path: str) -> BinaryIO | Inflated:
@@ -83,32 +87,72 @@ def opened(path: str) -> BinaryIO | Inflated:
     return Inflated(file)
 
 
-def header(file: BinaryIO | Inflated, path: str) -> tuple[tuple[int, ...], np.dtype]:
-    """Shape and type of an array. Column-major arrays are refused, as their slices do not lie together."""
+def header(file: BinaryIO | Inflated, path: str) -> tuple[tuple[int, ...], np.dtype, bool]:
+    """Shape and type of an array, and whether it is in column-major order."""
     start = file.read(8)
     if start[:6] != MAGIC:
         raise ValueError(f"{path} does not begin as an array")
     n = struct.unpack("<H", file.read(2))[0] if start[6] == 1 else struct.unpack("<I", file.read(4))[0]
     about = ast.literal_eval(file.read(n).decode("latin1").strip())
-    if about["fortran_order"]:
-        raise ValueError(f"{path} is in column-major order")
-    return tuple(about["shape"]), np.dtype(about["descr"])
+    return tuple(about["shape"]), np.dtype(about["descr"]), about["fortran_order"]
 
 
-def slices(path: str, most: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(index, section) of a volume; ends at a section that is not whole."""
+def slices(path: str, most: int | None = None, part: int = 0, split: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, section) of a volume, or of its part-th range of `split` bytes: sections belong to the range in which they begin. Ends at a section that is not whole."""
     file = opened(path)
-    shape, kind = header(file, path)
+    shape, kind, by_column = header(file, path)
     if len(shape) != 3:
         raise ValueError(f"{path} has {len(shape)} axes instead of 3")
-    size = shape[1] * shape[2] * kind.itemsize
-    for k in range(shape[0] if most is None else min(most, shape[0])):
+    size, n = shape[1] * shape[2] * kind.itemsize, shape[0] if most is None else min(most, shape[0])
+    first, last = 0, n
+    if split is not None:
+        if isinstance(file, Inflated):  # no place in it can be found without reading what is before
+            last = n if part == 0 else 0
+        elif size:
+            first, last = (min(n, -(-k * split // size)) for k in (part, part + 1))
+    if by_column:
+        yield from _gathered(path, file, shape, kind, first, last)
+        return
+    if first and first < last:
+        file.seek(file.tell() + first * size)
+    for k in range(first, last):
         data = file.read(size)
         if len(data) < size:
             return
         yield k, np.frombuffer(data, kind).reshape(shape[1:])
 
 
+def _gathered(path: str, file: BinaryIO | Inflated, shape: tuple[int, ...], kind: np.dtype, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sections first..last of a column-major array, whose columns (one number of each section) lie together. As many sections as GATHERED bytes hold are put together in one
+    pass over the columns: of a deflated array from its beginning, of a stored one by strided reads where a column is long, so that what is skipped is not read."""
+    columns, item = shape[1] * shape[2], kind.itemsize
+    most = max(1, GATHERED // max(1, columns * item))
+    begin = None if isinstance(file, Inflated) else file.tell()
+    for low in range(first, last, most):
+        high = min(last, low + most)
+        out = np.empty((columns, high - low), kind)
+        if begin is None and low > first:
+            file = opened(path)
+            header(file, path)
+        strided = begin is not None and shape[0] * item > CHUNK and (high - low) * 4 < shape[0]
+        many = max(1, CHUNK // (shape[0] * item))
+        for at in range(0, columns, many):
+            n = min(many, columns - at)
+            if strided:
+                data = b"".join(file.read_at((high - low) * item, begin + ((at + k) * shape[0] + low) * item) for k in range(n))
+                width, own = high - low, slice(None)
+            else:
+                if begin is not None:
+                    file.seek(begin + at * shape[0] * item)
+                data = file.read(n * shape[0] * item)
+                width, own = shape[0], slice(low, high)
+            if len(data) < n * width * item:
+                return  # each section lacks what is not there
+            out[at : at + n] = np.frombuffer(data, kind).reshape(n, width)[:, own]
+        for k in range(high - low):
+            yield low + k, np.ascontiguousarray(out[:, k].reshape(shape[2], shape[1]).T)
+
+
 def load_mask(content: bytes, size: int = 32) -> np.ndarray:
     """A 0/1 mask of an array file's bytes: member `fault` or the first, the middle section of a volume, above 0, nearest cell."""
     array = np.load(io.BytesIO(content))
@@ -161,26 +205,29 @@ def paired_slices(seis: DataFrame, fault: DataFrame, on: str = "id") -> DataFram
     return both.select(on, "slice_idx", height.alias("height"), "width", F.col("values").alias("seis"), "fault")
 
 
-class OneVolume(InputPartition):
-    def __init__(self, path: str) -> None:
+class VolumePart(InputPartition):
+    def __init__(self, path: str, part: int) -> None:
         super().__init__(path)
-        self.path = path
+        self.path, self.part = path, part
 
 
 class VolumeReader(DataSourceReader):
+    """A partition of each `splitBytes` of a file, by its size alone: no file is opened to plan. A part in which no section begins, or of a deflated file after the first, is empty."""
+
     def __init__(self, options: dict) -> None:
         self.pattern = options["path"]
-        most = options.get("maxslices") or options.get("maxSlices")
-        self.most = int(most) if most else None
+        given = {k.lower(): v for k, v in options.items()}
+        self.most = int(given["maxslices"]) if given.get("maxslices") else None
+        self.split = int(given.get("splitbytes") or SPLIT)
 
-    def partitions(self) -> list[OneVolume]:
-        paths = sorted(p for part in self.pattern.split(",") for p in listed(part))
-        if not paths:
+    def partitions(self) -> list[VolumePart]:
+        files = sorted(f for part in self.pattern.split(",") for f in listed(part))
+        if not files:
             raise FileNotFoundError(self.pattern)
-        return [OneVolume(p) for p in paths]
+        return [VolumePart(path, k) for path, size in files for k in range(max(1, -(-size // self.split)))]
 
-    def read(self, partition: OneVolume) -> Iterator[pa.RecordBatch]:
-        for k, section in slices(partition.path, self.most):
+    def read(self, partition: VolumePart) -> Iterator[pa.RecordBatch]:
+        for k, section in slices(partition.path, self.most, partition.part, self.split):
             values = pa.ListArray.from_arrays(pa.array([0, section.size], pa.int32()), pa.array(section.astype(np.float32).ravel()))
             shape = [pa.array([v], pa.int32()) for v in (k, *section.shape)]
             yield pa.RecordBatch.from_arrays([pa.array([partition.path]), *shape, values], ["path", "slice_idx", "height", "width", "values"])

@@ -99,3 +99,21 @@ def test_templates_urls_and_decodings(spark):
     assert one(spark, T.data_url(F.col("t").cast("binary")), t="x" * 100).count("\n") == 0
     df = spark.createDataFrame([(["", "<unk>", "<unk> so Answer: yes "],), ([],)], "c array<string>")
     assert [r.x for r in df.select(T.chosen_decoding(F.col("c")).alias("x")).collect()] == ["yes", ""]
+
+
+def test_why_a_reply_has_no_text(spark):
+    def why(t):
+        return one(spark, T.reply_text(F.col("t")), t=t).error
+
+    only = '{"choices":[{"message":{"content":"","reasoning":"it\'s\\nso"},"finish_reason":"length"}]}'
+    assert why(only) == 'response has reasoning and no content (finish_reason=length): "it\'s\\nso"'
+    assert why('{"choices":[{"message":{"content":""}}]}').startswith("response has an empty message (finish_reason=None): {")
+    assert why('{"choices":[{"message":{"content":""},"finish_reason":"stop"}]}').startswith("response has an empty message (finish_reason=stop): {")
+
+
+def test_quoted_texts(spark):
+    texts = ["", "a", "it's", 'say "x"', "it's \"x\"", "back \\ stroke", "line\nend\r\ttab", "bell \x07 del \x7f soft \xad", "é 漢 🙂"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r.x for r in df.orderBy("k").select(T.quoted(F.col("t")).alias("x")).collect()] == [repr(t) for t in texts]
+    note = df.filter("k = 6").select(T.chosen_decoding(F.array(F.lit(""), F.lit("<unk>")), F.array(F.lit(1), F.lit(2))).alias("x")).first().x
+    assert note == "[empty decoded output] raw='<unk>' token_ids=[1, 2]"
