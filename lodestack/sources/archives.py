@@ -137,7 +137,7 @@ class ArchiveReader(DataSourceReader):
         self.pattern, self.chunk = given["path"], int(given.get("chunkbytes") or CHUNK)
 
     def partitions(self) -> list[Archive]:
-        paths = sorted(path for part in self.pattern.split(",") for path, _ in listed(part))
+        paths = sorted(path for part in self.pattern.split(",") for path in listed(part))
         if not paths:
             raise FileNotFoundError(self.pattern)
         return [Archive(p) for p in paths]

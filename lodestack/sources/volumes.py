@@ -57,7 +57,12 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path.removeprefix("file:")
 
 
-def listed(pattern: str) -> list[tuple[str, int]]:
+def listed(pattern: str) -> list[str]:
+    """Files of a pattern in order; below an address, the last part may have wildcards."""
+    return [path for path, _ in sized(pattern)]
+
+
+def sized(pattern: str) -> list[tuple[str, int]]:
     """(path, size) of the files of a pattern in order; below an address, the last part may have wildcards."""
     if "://" not in pattern:
         paths = sorted(glob.glob(pattern.removeprefix("file:")))
@@ -146,11 +151,17 @@ def _gathered(path: str, file: BinaryIO | Inflated, shape: tuple[int, ...], kind
                     file.seek(begin + at * shape[0] * item)
                 data = file.read(n * shape[0] * item)
                 width, own = shape[0], slice(low, high)
-            if len(data) < n * width * item:
-                return  # each section lacks what is not there
+            if (short := n * width * item - len(data)) > 0:
+                # only what ends the last column may be missing; sections before it are whole
+                last = min(last, low - own.indices(width)[0] + width - -(-short // item))
+                if at + n < columns or last <= low:
+                    return
+                data += bytes(short)
             out[at : at + n] = np.frombuffer(data, kind).reshape(n, width)[:, own]
-        for k in range(high - low):
+        for k in range(min(high, last) - low):
             yield low + k, np.ascontiguousarray(out[:, k].reshape(shape[2], shape[1]).T)
+        if last < high:
+            return
 
 
 def load_mask(content: bytes, size: int = 32) -> np.ndarray:
@@ -221,7 +232,7 @@ class VolumeReader(DataSourceReader):
         self.split = int(given.get("splitbytes") or SPLIT)
 
     def partitions(self) -> list[VolumePart]:
-        files = sorted(f for part in self.pattern.split(",") for f in listed(part))
+        files = sorted(f for part in self.pattern.split(",") for f in sized(part))
         if not files:
             raise FileNotFoundError(self.pattern)
         return [VolumePart(path, k) for path, size in files for k in range(max(1, -(-size // self.split)))]
