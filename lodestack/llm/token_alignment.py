@@ -33,7 +33,7 @@ BYTE_PATH, PIECE_PATH = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"
 #: Characters of text that are aligned at a time, characters of a block, whose pairs are told together, and pieces that a worker remembers.
-SLAB, BLOCK, REMEMBERED = 4 << 20, 32 << 20, 400_000
+SLAB, BLOCK, REMEMBERED = 2 << 20, 16 << 20, 250_000
 #: Pairs of ids that a worker numbers before it begins anew.
 NUMBERED = 4 << 20
 
@@ -106,7 +106,7 @@ class Aligner:
         self.b, self.bytes_b = load_pieces(piece_path)
         self.long_a, self.long_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '400MB'")
+        self.con.execute("SET threads = 1; SET memory_limit = '250MB'")
         self.remembered = remembered
         self.forget()
 
