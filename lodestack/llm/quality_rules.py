@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import SPACES, WORD
+from lodestack.llm.common import SPACES, WORD, drop_stored, stored
+from lodestack.llm.toxicity import first_rows
 
 #: Labelled rows to learn from at most, the first in an order by hash.
 SAMPLE_ROWS = 8_000
@@ -204,30 +205,32 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: Sequence[str], trees: int = 4
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Learns from sample_rows labelled rows at most; the driver holds their statistics, not their texts.
+    """Learns from sample_rows labelled rows at most, one of each id; the driver holds their statistics, not their texts.
 
-    Rows with a null id or label are ignored; an id labelled twice takes its larger label.
+    The sample is cut by hash (first_rows()), so no task and not the driver sees more rows than it keeps. Rows with a null id or label are ignored; an id labelled
+    twice takes its larger label, and of rows that share an id those statistics count that are smallest in the order of their names.
     """
     wanted = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
         .dropna()
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(sample_rows)
     )
+    wanted = stored(wanted, "labels")
+    chosen = first_rows(wanted, sample_rows, F.col("_id"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     # at most sample_rows ids of a few bytes are broadcast
-    sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id"))
-    known = with_statistics(sample, "_text", "_stats").select("_id", "_y", "_stats.*")
+    sample = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    known = with_statistics(sample, "_text", "_stats").groupBy("_id", "_y").agg(F.min("_stats").alias("_stats")).select("_id", "_y", "_stats.*")
     got = known.toPandas().sort_values(["_id", *NAMES], kind="stable")
+    drop_stored(wanted)
     return fit_rules(got[[*NAMES]].to_numpy(float), got["_y"].to_numpy(int), NAMES)
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """docs with a column `score`, 0 to 1, computed by column expressions in the scan of docs.
 
-    Null texts score as empty ones; repeated rows score alike; an empty table stays empty. A column `score` that docs
+    Null texts score as empty ones; repeated rows score alike; texts of any length are read whole; an empty table stays empty. A column `score` that docs
     have is replaced.
     """
     held = f"_stats_{len(docs.columns)}"

@@ -59,3 +59,61 @@ def test_lasso_drops_useless_columns():
     z = (rng.random((2000, 20)) < 0.5).astype(float)
     w, b = op._lasso(z, z[:, 3], 5e-3)
     assert w[3] > 2 and (np.abs(np.delete(w, 3)) < 0.1).all()
+
+
+def test_the_sample_is_bounded_and_has_one_row_an_id(spark):
+    rows = list(texts(2, 300))
+    docs = spark.createDataFrame([(i, t, "s", 1, "w") for i, t, _ in rows] + [(7, f"copy {k} of a text", "s", 1, "w") for k in range(5_000)], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seen = []
+    fit = op.fit_rules
+    try:
+        op.fit_rules = lambda x, y, names: seen.append(len(y)) or fit(x, y, names)
+        model = op.fit_quality(docs, labels)
+        assert model == op.fit_quality(docs.repartition(7), labels.repartition(2))
+        op.fit_quality(docs, labels, sample_rows=50)
+    finally:
+        op.fit_rules = fit
+    assert seen[:2] == [300, 300] and 0 < seen[2] <= 50
+    plan = op.first_rows(labels.groupBy("doc_id").agg({"quality": "max"}), 50, op.F.col("doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+
+
+def brute_score(model, stats):
+    """Rules one by one."""
+    total = model.bias
+    for rule in model.rules:
+        if all((stats[c.feature] > c.cut) == c.above for c in rule.conditions):
+            total += rule.weight
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_like_the_rules_one_by_one(spark):
+    rows = list(texts(3, 400)) + [(900, "", 0), (901, None, 0), (902, "a " * 30_000, 1)]
+    docs = spark.createDataFrame([(i, t, "s", 1, "w") for i, t, _ in rows], SCHEMA)
+    model = op.fit_quality(docs, spark.createDataFrame([(i, y) for i, _, y in rows[:400]], "doc_id long, quality int"))
+    stats = {r.doc_id: r.s for r in op.with_statistics(docs, "text", "s").select("doc_id", "s").collect()}
+    got = {r.doc_id: r.score for r in op.score_quality(docs, model).collect()}
+    assert model.rules and all(got[i] == pytest.approx(brute_score(model, stats[i])) for i in got)
+
+
+def test_lasso_is_at_its_least():
+    rng = np.random.default_rng(4)
+    z = (rng.random((300, 5)) < 0.5).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 1])))).astype(float)
+    penalty = 0.01
+    w, b = op._lasso(z, y, penalty)
+
+    def loss(w, b):
+        m = z @ w + b
+        return np.mean(np.logaddexp(0, m) - y * m) + penalty * np.abs(w).sum()
+
+    best = loss(w, b)
+    for k in range(6):  # no step along any weight makes it better
+        for step in (-0.05, 0.05):
+            moved, c = w.copy(), b
+            if k < 5:
+                moved[k] += step
+            else:
+                c += step
+            assert loss(moved, c) >= best - 1e-6
