@@ -101,3 +101,18 @@ def test_rows_of_the_mix_keep_columns_of_any_name(spark):
     rows = [(k, "w " * 5, "ab"[k % 2], "x", 1, 2, 3, k) for k in range(6)]
     got = op.mixed_rows(spark.createDataFrame(rows, schema))
     assert got.columns == [c.split(" ")[0] for c in schema.split(", ")] and {r["row"] == r["doc_id"] for r in got.collect()} == {True}
+
+
+@pytest.mark.parametrize("own", [7, None])
+def test_rows_of_one_id_are_dealt_to_many_shards(spark, own):
+    """20,000 rows of one id, and of none: of different texts they fill shards of the usual size, and copies are one row with a count."""
+    rows = [(own, f"w{k} " * (k % 7 + 1), "a") for k in range(20_000)] + [(own, "copy of one text", "a")] * 3_000 + [(own, "x y", "b")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ranked, _ = op._ranked(df, "doc_id", "source", "text", (1, 2, 3), 42)
+    cells = [r["count"] for r in ranked.groupBy("_cell").count().collect()]
+    assert len(cells) >= 5 and max(cells) <= 1.2 * op.SHARD_ROWS
+    got = op.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    for n in {r.source_size for r in got}:
+        part = [r for r in got if r.source_size == n]
+        assert sum(r.taken for r in part) == pytest.approx(part[0].target, rel=0.02)
