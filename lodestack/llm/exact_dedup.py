@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import SPACES
@@ -55,15 +55,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' columns, whatever their names: one of each group of equal texts.
 
-    Verdicts are joined by one key of hash and id, so rows that share an id and differ in text are judged apart, and the join's partitioning serves
-    to drop all but one of rows that repeat both: texts move once here. Other cases are as in exact_dedup().
+    Verdicts are joined by one key of hash and id, so rows that share an id and differ in text are judged apart. Rows that repeat both are reduced to one before they
+    are shuffled, so no key has more rows than there are map tasks, and each text moves about once here. Other cases are as in exact_dedup().
     """
 
     def key(h: Column, own: Column) -> Column:
         return F.coalesce(F.concat(h, F.lit("="), own.cast("string")), h)
 
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("hash128"), F.col(id_col)).alias("key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), key(F.md5(normalised(text_col)), F.col(id_col)).alias("key")).join(kept, "key", "left_semi")
-    # keys are as good as unique here, so no partition of the window is large
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return rows.withColumn("turn", turn).filter("turn = 1").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), key(F.md5(normalised(text_col)), F.col(id_col)).alias("key"))
+    return rows.groupBy("key").agg(F.first("row").alias("row")).join(kept, "key", "left_semi").select("row.*")

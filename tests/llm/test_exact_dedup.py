@@ -51,3 +51,11 @@ def test_rows_keep_columns_of_any_name(spark):
     got = kept_rows(spark.createDataFrame(rows, schema))
     assert got.columns == [c.split(" ")[0] for c in schema.split(", ")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[3]], key=repr)
+
+
+def test_copies_are_reduced_before_they_are_shuffled(spark):
+    rows = [(None, "same text", "k", None)] * 20_000 + [(1, "own", "k", None)]
+    out = kept_rows(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "same text"), (1, "own")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "first(row" in plan
