@@ -4,7 +4,6 @@ import re
 import corpus_pipeline
 from lodestack.llm import sentencepiece_unigram
 from lodestack.llm.mixing import capped_targets
-from test_simhash_dedup import brute_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +27,8 @@ def corpus(seed):
 
 
 def test_stages_against_brute_force(spark, tmp_path):
+    from test_shingle_dedup import brute
+
     rows, labels = corpus(3)
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -47,8 +48,8 @@ def test_stages_against_brute_force(spark, tmp_path):
         if i in good:
             first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), i)
     assert sorted(r.doc_id for r in kept["exact dedup"]) == sorted(first.values())
-    near = brute_dedup([(r.doc_id, r.text) for r in kept["exact dedup"]])
-    assert sorted(r.doc_id for r in kept["simhash near-dedup"]) == sorted({c for _, _, c in near})
+    near = brute([(r.doc_id, r.text) for r in kept["exact dedup"]])  # all pairs, by the stage's rule: five words, similarity 0.8
+    assert sorted(r.doc_id for r in kept["simhash near-dedup"]) == sorted(set(near.values()))
     sizes, taken = {}, {}
     for stage, into in (("simhash near-dedup", sizes), ("mixing sources", taken)):
         for r in kept[stage]:
