@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,12 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(words))
 
 
+def _hashed(first: str, second: str) -> int:
+    """XXH64 of two words as F.xxhash64() gives it: the second is hashed with the first one's hash as seed."""
+    own = xxhash.xxh64_intdigest(second.encode(), xxhash.xxh64_intdigest(first.encode(), 42))
+    return own - (1 << 64) if own >> 63 else own
+
+
 def _plain(text: str) -> list[str]:
     words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))
@@ -160,13 +167,16 @@ def scan_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A changed text whose first lines are a notice unchanged gives two passages, of one license: the notice and the rest.
 
     The same bound prunes templates: one meets a text only if the text holds t / (2 - t) of the template's bigrams at all, and a start only if they follow it within the longest run.
-    A run that starts or ends with a bigram foreign to the template is never better than without it, so only the template's own bigrams are starts and ends. It happens in the scan,
-    row by row, without a shuffle. Null and empty texts give an empty array, 0 and 0; repeated rows are scanned alike; other columns are ignored. Templates need two words.
+    A run that starts or ends with a bigram foreign to the template is never better than without it, so only the template's own bigrams are starts and ends. From a start all ends are
+    judged in one pass by running sums: a bigram is new in a run if the last one like it is before its start. Bigrams are compared by 64-bit hashes. It happens in the scan,
+    row by row, without a shuffle. Null and empty texts give an empty array, 0 and 0; repeated rows are scanned alike; texts of any length are read whole; an empty table gives no rows;
+    other columns are ignored. Templates need two words.
     """
     known = []
     for name in sorted(templates):
         for form in templates[name]:
-            own, n = _plain(form), len("".join(c if c.isalnum() else " " for c in form.lower()).split()) - 1
+            words = "".join(c if c.isalnum() else " " for c in form.lower()).split()
+            own, n = sorted({_hashed(x, y) for x, y in zip(words, words[1:])}), len(words) - 1
             if n < 1:
                 raise ValueError(f"a template of {name} has fewer than two words")
             known.append((name, own, max(1, math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)), math.floor(n * (2 - threshold) / threshold + 1e-9)))
@@ -175,37 +185,74 @@ def scan_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ]
     vocabulary = F.array(*map(F.lit, sorted({g for _, own, _, _ in known for g in own})))
     kind = "array<struct<dice:double,length:int,first:int,license:string,last:int>>"
-    none = F.array().cast(kind)
+    none, no_numbers = F.array().cast(kind), F.array().cast("array<int>")
 
     def bound(x: Column, of: Callable[[Column], Column]) -> Column:
         """of(x) with x computed once: a filter on the result is pushed below projections and would repeat what they name."""
         return F.transform(F.array(x), of)[0]
 
     def pairs_of(words: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat_ws(" ", F.get(words, k - 1), F.get(words, k)))
-        return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.xxhash64(F.get(words, k - 1), F.get(words, k)))
+        return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<bigint>"))
+
+    def before(pairs: Column) -> Column:
+        """For each place the last one before it with the same bigram, or 0."""
+        placed = F.array_sort(F.transform(pairs, lambda g, k: F.struct(g.alias("g"), (k + 1).alias("at"))))
+
+        def told(own: Column) -> Column:
+            last = lambda s, k: F.when((k > 0) & (F.get(own, k - 1)["g"] == s["g"]), F.get(own, k - 1)["at"]).otherwise(0)
+            return F.transform(F.array_sort(F.transform(own, lambda s, k: F.struct(s["at"].alias("at"), last(s, k).alias("last")))), lambda s: s["last"])
+
+        return bound(placed, told)
+
+    def from_start(t: Column, hits: Column, i: Column) -> Column:
+        """The best run that begins with the i-th hit (from 0). A bigram counts where its last one is before the start, so running sums tell how many different ones there are."""
+        p, size = F.get(hits, i)["at"], F.size(t["grams"])
 
-    def run(pairs: Column, t: Column, p: Column, q: Column) -> Column:
-        dice = lambda part: 2.0 * F.size(F.array_intersect(part, t["grams"])) / (F.size(F.array_distinct(part)) + F.size(t["grams"]))
-        return F.struct(bound(F.slice(pairs, p, q - p + 1), dice).alias("dice"), (-q).alias("end"))
+        def further(s: Column, h: Column) -> Column:
+            shared = s["shared"] + (h["last"] < p).cast("int")
+            foreign = s["foreign"] + F.when(h["at"] == p, 0).otherwise(F.size(F.filter(h["gap"], lambda v: v < p)))
+            grown = F.struct(shared.alias("shared"), foreign.alias("foreign"))
 
-    def from_start(pairs: Column, t: Column, at: Column, p: Column) -> Column:
-        ends = F.filter(at, lambda q: (q - p + 1 >= t["low"]) & (q - p < t["high"]))
+            def judged(g: Column) -> Column:
+                dice = 2.0 * g["shared"] / (g["shared"] + g["foreign"] + size)
+                better = (h["at"] - p + 1 >= t["low"]) & (dice > s["dice"])
+                return F.struct(g["shared"].alias("shared"), g["foreign"].alias("foreign"), F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, h["at"]).otherwise(s["end"]).alias("end"))
+
+            return F.when(h["at"] - p < t["high"], bound(grown, judged)).otherwise(s)
+
+        begin = F.struct(F.lit(0).alias("shared"), F.lit(0).alias("foreign"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
         # the fields in the order in which passages are taken
-        named = lambda b: F.struct((-b["dice"]).alias("dice"), (p + b["end"]).alias("length"), p.alias("first"), t["license"].alias("license"), (1 - b["end"]).alias("last"))
-        return bound(F.array_max(F.transform(ends, lambda q: run(pairs, t, p, q))), named)
+        named = lambda b: F.struct((-b["dice"]).alias("dice"), (p - b["end"]).alias("length"), p.alias("first"), t["license"].alias("license"), (b["end"] + 1).alias("last"))
+        return bound(F.aggregate(F.slice(hits, i + 1, t["high"]), begin, further), named)
+
+    def of_template(pairs: Column, lasts: Column, places: Column, t: Column) -> Column:
+        def hit(at: Column, k: Column, every: Column) -> Column:
+            gap = at - F.coalesce(F.get(every, k - 1), F.lit(0)) - 1
+            between = F.when((k > 0) & (gap > 0) & (gap < t["high"]), F.slice(lasts, at - gap, gap)).otherwise(no_numbers)
+            return F.struct(at.alias("at"), F.get(lasts, at - 1).alias("last"), between.alias("gap"))
 
-    def of_template(pairs: Column, t: Column) -> Column:
-        def found(at: Column) -> Column:
+        def found(hits: Column) -> Column:
             # places ascend, so a start is followed by enough of them if the one `low` - 1 places on is near
-            near = F.filter(F.transform(at, lambda p, k: F.struct(p.alias("p"), F.get(at, k + t["low"] - 1).alias("q"))), lambda s: s["q"] - s["p"] < t["high"])
-            return F.filter(F.transform(near, lambda s: from_start(pairs, t, at, s["p"])), lambda m: m["dice"] <= -threshold)
+            starts = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: F.get(hits, i + t["low"] - 1)["at"] - F.get(hits, i)["at"] < t["high"])
+            return F.filter(F.transform(starts, lambda i: from_start(t, hits, i)), lambda m: m["dice"] <= -threshold)
 
-        return bound(F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda k: F.array_contains(t["grams"], F.get(pairs, k - 1))), found)
+        own = F.filter(places, lambda k: F.array_contains(t["grams"], F.get(pairs, k - 1)))
+        return F.when(F.size(own) > 0, bound(bound(own, lambda every: F.transform(every, lambda at, k: hit(at, k, every))), found)).otherwise(none)
 
     def runs_of(pairs: Column) -> Column:
-        met = lambda seen: F.filter(F.array(*literal), lambda t: F.size(F.array_intersect(seen, t["grams"])) >= t["low"])
-        return F.array_sort(F.flatten(F.transform(bound(F.array_intersect(pairs, vocabulary), met), lambda t: of_template(pairs, t)))).cast(kind)
+        def of_met(seen: Column) -> Column:
+            met = F.filter(F.array(*literal), lambda t: F.size(F.array_intersect(seen, t["grams"])) >= t["low"])
+            places = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda k: F.array_contains(seen, F.get(pairs, k - 1)))
+
+            def all_of(ts: Column) -> Column:
+                about = F.struct(before(pairs).alias("lasts"), places.alias("places"))
+                runs = bound(about, lambda a: F.flatten(F.transform(ts, lambda t: of_template(pairs, a["lasts"], a["places"], t))))
+                return F.when(F.size(ts) > 0, F.array_sort(runs)).otherwise(none)
+
+            return bound(met, all_of)
+
+        return bound(F.array_intersect(pairs, vocabulary), of_met).cast(kind)
 
     words = F.split(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), " ")
     runs = bound(bound(words, pairs_of), runs_of)

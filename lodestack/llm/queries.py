@@ -11,7 +11,7 @@ from lodestack.llm.common import fold, read_table
 from lodestack.llm.exact_dedup import exact_dedup
 from lodestack.llm.hard_negatives import hard_negatives
 from lodestack.llm.html_main_text import main_text
-from lodestack.llm.licenses import TEMPLATES, scan_licenses
+from lodestack.llm.licenses import PASSAGES, scan_passages
 from lodestack.llm.line_dedup import kept_lines, line_bitmaps
 from lodestack.llm.mixing import mix
 from lodestack.llm.quality_rules import fit_quality, score_quality
@@ -73,8 +73,9 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_matches", F.round("best_dice", 6).alias("best_dice"))
+    """Notices and whole license texts wherever they stand, one license a passage."""
+    found = scan_passages(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.col("n_passages").alias("n_matches"), F.round("best_dice", 6).alias("best_dice"))
 
 
 @query
@@ -165,25 +166,47 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-_FORMS = ",\n".join("('{}', '{}')".format(name, form.replace("'", "''")) for name, forms in TEMPLATES.items() for form in forms)
-_GRAMS = """CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE list_distinct(w) END"""
-_WORDS = """string_split(trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"""
+_FORMS = ",\n".join("('{}', '{}')".format(name, form.replace("'", "''")) for name, forms in PASSAGES.items() for form in forms)
+_WORDS = """string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"""
 ORACLE_SQL["op6_licenses"] = f"""
-WITH forms(license, line) AS (VALUES {_FORMS}
+WITH RECURSIVE forms(license, form) AS (VALUES {_FORMS}
 ), f AS (
-    SELECT license, {_GRAMS} AS fg FROM (SELECT license, {_WORDS} AS w FROM forms)
-), spans AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
-    UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
-), s AS (
-    SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM spans)
+    SELECT row_number() OVER () AS tid, license, {_WORDS.format("form")} AS w FROM forms
+), g AS (
+    SELECT tid, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams, len(w) - 1 AS n FROM f
+), t AS (
+    SELECT *, len(grams) AS size, greatest(1, ceil(len(grams) * 0.8::DOUBLE / 1.2::DOUBLE - 1e-9::DOUBLE))::INT AS low, floor(n * 1.2::DOUBLE / 0.8::DOUBLE + 1e-9::DOUBLE)::INT AS high FROM g
+), tg AS (
+    SELECT tid, unnest(grams) AS g FROM t
+), d AS (
+    SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), p AS (
+    SELECT doc_id, pos, w[pos] || ' ' || w[pos + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS pos FROM d)
+), met AS (
+    SELECT doc_id, tid FROM p JOIN tg USING (g) JOIN t USING (tid) GROUP BY doc_id, tid, low HAVING count(DISTINCT g) >= low
+), h AS (
+    SELECT doc_id, tid, pos FROM met JOIN p USING (doc_id) SEMI JOIN tg USING (tid, g)
+), c AS (
+    SELECT doc_id, tid, a.pos AS low_at, b.pos AS high_at FROM h a JOIN h b USING (doc_id, tid) JOIN t USING (tid) WHERE b.pos - a.pos + 1 BETWEEN low AND high
 ), m AS (
-    SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, fg)) / (len(g) + len(fg)) AS dice
-    FROM s JOIN f ON len(g) BETWEEN len(fg) * 0.6 AND len(fg) * 1.6
+    SELECT c.doc_id, c.tid, low_at, high_at, 2.0::DOUBLE * count(DISTINCT tg.g) / (count(DISTINCT p.g) + size) AS dice
+    FROM c JOIN p ON p.doc_id = c.doc_id AND p.pos BETWEEN low_at AND high_at JOIN t ON t.tid = c.tid LEFT JOIN tg ON tg.tid = c.tid AND tg.g = p.g
+    GROUP BY c.doc_id, c.tid, low_at, high_at, size
+), best AS (
+    SELECT doc_id, license, low_at, high_at, dice FROM m JOIN t USING (tid) WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, tid, low_at ORDER BY dice DESC, high_at) = 1
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, high_at - low_at DESC, low_at, license, high_at) AS k FROM best
+), taken AS (
+    SELECT doc_id, 1 AS k, [{{'license': license, 'low_at': low_at, 'high_at': high_at, 'dice': dice}}] AS own FROM r WHERE k = 1
+    UNION ALL
+    SELECT r.doc_id, r.k, CASE WHEN len(list_filter(own, lambda o: o.low_at <= r.high_at + 1 AND r.low_at <= o.high_at + 1)) = 0
+        THEN list_append(own, {{'license': license, 'low_at': low_at, 'high_at': high_at, 'dice': dice}}) ELSE own END
+    FROM taken JOIN r ON r.doc_id = taken.doc_id AND r.k = taken.k + 1
 ), found AS (
-    SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches, max(dice) AS best FROM m WHERE dice >= 0.8 GROUP BY doc_id
+    SELECT doc_id, own FROM taken QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1
 )
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_matches, 0) AS n_matches, round(coalesce(best, 0::DOUBLE), 6) AS best_dice
+SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(own, lambda o: o.license))), ','), '') AS licenses, coalesce(len(own), 0) AS n_matches,
+    round(coalesce(list_max(list_transform(own, lambda o: o.dice)), 0::DOUBLE), 6) AS best_dice
 FROM documents LEFT JOIN found USING (doc_id)
 """
 

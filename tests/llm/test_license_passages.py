@@ -104,3 +104,34 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_passages) for r in op.scan_passages(df, templates=SMALL).collect()) == [(-1, 1), (3, 1), (3, 1)]
     with pytest.raises(ValueError):
         op.scan_passages(df, templates={"A": ("one",)})
+
+
+def test_the_query_finds_wrapped_and_embedded_texts(spark, tmp_path):
+    """The registered query and its SQL over texts that the given tables lack."""
+    import duckdb
+
+    from lodestack.llm.queries import ORACLE_SQL, QUERIES
+
+    r = random.Random(5)
+    texts = [None, "", "This work is licensed under the GNU General Public License, version 3."]
+    for name, forms in op.PASSAGES.items():
+        texts += [f"Some words before.\n{textwrap.fill(form, 60)}\nand behind it" for form in forms]
+        texts += [f"A paragraph with {form} and then more." for form in forms if len(form) < 300]
+    sure = len(texts)
+    for forms in op.TEMPLATES.values():
+        for form in forms:
+            words = form.split(" ")
+            for _ in range(3):
+                words.insert(r.randrange(len(words) + 1), "foreign")
+            texts += [" ".join(words), f"{form} {form}\n{forms[0]}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op6_licenses"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["op6_licenses"])
+    assert got.columns == want.columns
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall())
+    assert rows[2][1] == "GPL-3.0" and all(x[1] for x in rows[2:sure])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
