@@ -64,6 +64,13 @@ def tokens(text: str) -> list[str]:
     return words
 
 
+def windows(word: str) -> list[str]:
+    """The word itself, or of a longer one its overlapping windows, which cover it whole."""
+    if len(word) <= WINDOW:
+        return [word]
+    return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
 def classes(word: str) -> np.ndarray:
     cp = np.frombuffer(word.encode("utf-32-le", "replace"), np.uint32)
     out = 36 + (cp * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(26)
@@ -142,9 +149,9 @@ class ToxicityModel:
         """The machine's decision for each word; of a long word, the largest of its windows."""
         shown, of = [], []
         for place, w in enumerate(words):
-            for at in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2) if len(w) > WINDOW else (0,):
-                shown.append(w[at : at + WINDOW])
-                of.append(place)
+            own = windows(w)
+            shown += own
+            of += [place] * len(own)
         found = np.full(len(shown), -MARGIN, np.float32)
         for own, code, weight, norm in subsequences(shown):
             if code.shape[1]:
@@ -246,7 +253,7 @@ def _margins(words: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def _seen_words(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): in how many different documents of each label a word stands.
+    """(word, toxic, clean): in how many different documents of each label a word, or a window of a longer one, stands.
 
     Copies count once: documents whose smallest word hash is the same are one. Words are taken
     sentence by sentence, and each sentence has its document's label.
@@ -256,7 +263,7 @@ def _seen_words(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist()):
                 own = {w.strip(EDGES) for s in sentences(text.as_py() or "") for w in tokens(s)}
-                words = [w for w in own if 3 <= len(w) <= WINDOW]
+                words = list({part for w in own if w for part in windows(w)})
                 if words:
                     sign = min(xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words) >> 1
                     n = len(words)
@@ -320,14 +327,17 @@ def first_rows(rows: DataFrame, most: int, by: Column, rank: Column | None = Non
 
 
 def _sentences(sample: DataFrame, pointers: frozenset[str]) -> DataFrame:
-    """(y, words) of the labelled sentences, each as its bare words, SENTENCE_WORDS at most: of toxic documents those with a pointer, of clean documents all; equal sentences once."""
+    """(y, words) of the labelled sentences, each as its bare words, longer ones as their windows: of toxic documents those with a pointer, of clean documents all; equal sentences once.
+
+    A sentence of more than SENTENCE_WORDS of these is several, so each is bounded in bytes, too.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist()):
                 found = []
                 for s in sentences(text.as_py() or ""):
-                    words = [w.strip(EDGES) for w in tokens(s)]
+                    words = [part for w in tokens(s) for part in windows(w.strip(EDGES))]
                     for k in range(0, len(words), SENTENCE_WORDS):
                         own = [w for w in words[k : k + SENTENCE_WORDS] if w]
                         if own and (y == 0 or not pointers.isdisjoint(own)):
@@ -337,11 +347,18 @@ def _sentences(sample: DataFrame, pointers: frozenset[str]) -> DataFrame:
     return sample.select("_text", "_y").mapInArrow(of, "y int, words array<string>").distinct()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> ToxicityModel:
-    """Learns from labelled sentences of a bounded sample of labelled rows; the driver holds TOXIC_SENTENCES and CLEAN_SENTENCES cut sentences, counts and features.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN,
+    toxic_sentences: int = TOXIC_SENTENCES, clean_sentences: int = CLEAN_SENTENCES, hard_words: int = HARD_WORDS, pointers: int = POINTERS, landmarks: int = LANDMARKS, seen_in: int = SEEN_IN,
+) -> ToxicityModel:
+    """Learns from labelled sentences of a bounded sample of labelled rows; the driver holds cut sentences, words, counts and features of the sample, never texts.
+
+    Bounds, all parameters: labelled rows of each class (toxic_rows, clean_rows), sentences of each class that the machine is trained on (toxic_sentences, clean_sentences),
+    words that first point at toxic sentences (pointers), clean words that look most toxic to the first machine (hard_words), and its landmarks. What exceeds a bound is
+    left out by hash, never by place.
 
     Sentences get their document's label. A sentence is as toxic as its most toxic word (a bag of words, of which one is its witness): the machine learns the witness of each toxic
-    sentence against all words of the clean ones. Most sentences of a toxic document are clean, so those are taken that hold a word which SEEN_IN toxic documents and no clean one
+    sentence against all words of the clean ones. Most sentences of a toxic document are clean, so those are taken that hold a word which seen_in toxic documents and no clean one
     have. Their first witnesses are such words; the first machine then chooses each sentence's witness anew, and the second is learned from these, and from the clean words that
     the first takes for toxic. Witnesses are learned with inserted characters too. A document's score is a logistic function of its words' margins.
 
@@ -361,23 +378,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     sample = rows.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     sample = stored(sample, "toxicity-sample")
     words = stored(_seen_words(sample), "seen-words")
-    pointers = first_rows(words.filter(f"clean = 0 and toxic >= {SEEN_IN}"), POINTERS, F.col("word"), F.col("toxic")).collect()
-    seen = {w["word"]: min(w["toxic"] - SEEN_IN + 1, 20) for w in pointers}
+    pointing = first_rows(words.filter(f"clean = 0 and toxic >= {seen_in}"), pointers, F.col("word"), F.col("toxic")).collect()
+    seen = {w["word"]: min(w["toxic"] - seen_in + 1, 20) for w in pointing}
     bags = stored(_sentences(sample, frozenset(seen)), "labelled-sentences")
-    chosen = [first_rows(bags.filter(F.col("y") == y), n, F.col("words")) for y, n in ((1, TOXIC_SENTENCES), (0, CLEAN_SENTENCES))]
+    chosen = [first_rows(bags.filter(F.col("y") == y), n, F.col("words")) for y, n in ((1, toxic_sentences), (0, clean_sentences))]
     toxic, clean = (sorted(r["words"] for r in c.collect()) for c in chosen)
     if not toxic or not clean:
+        for table in (known, sample, words, bags):
+            drop_stored(table)
         return flat
 
     def learned(witnesses: Sequence[str], hard: Sequence[str]) -> tuple[np.ndarray, float]:
         r, counts = random.Random(42), Counter(witnesses)
         found = [(w, 1, min(n, 20)) for w, n in sorted(counts.items())]
         found += [(varied(w, r), 1, min(n, 20) / 4) for w, n in sorted(counts.items()) for _ in range(2)]
-        innocent = sorted({w[:WINDOW] for s in clean for w in s}.difference(counts))
+        innocent = sorted({w for s in clean for w in s}.difference(counts))
         found += [(w, 0, 1.0) for w in innocent]
         found += [(varied(w, r), 0, 0.25) for w in innocent[::2]]
         found += [(w, 0, 1.0) for w in sorted(set(hard).difference(innocent, counts))]
-        marks, beta, bias = fit_machine(*map(np.array, zip(*found)))
+        marks, beta, bias = fit_machine(*map(np.array, zip(*found)), landmarks=landmarks)
         return folded(marks, beta), bias
 
     table, bias = learned([max((w for w in s if w in seen), key=lambda w: (seen[w], w)) for s in toxic], ())
@@ -386,7 +405,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     # a sentence whose most toxic word stands in clean documents, too, keeps the word that pointed at it
     innocent = {w for s in clean for w in s}
     witnesses = [max((w for w in s if w in seen or w not in innocent), key=lambda w: (w in seen, margins[w], w)) for s in toxic]
-    hard = first_rows(_margins(words.filter("clean > 0").select("word"), first).filter("margin > -1"), HARD_WORDS, F.col("word"), F.floor(F.col("margin") * 50).cast("int"))
+    hard = first_rows(_margins(words.filter("clean > 0").select("word"), first).filter("margin > -1"), hard_words, F.col("word"), F.floor(F.col("margin") * 50).cast("int"))
     table, bias = learned(witnesses, [w["word"] for w in hard.collect()])
     model = ToxicityModel(table, bias, flat.document)
     got = _features(sample, model, scored=False).toPandas().sort_values(["_id", "f1", "f2", "f3"], kind="stable")

@@ -105,3 +105,55 @@ def test_runs_of_single_characters_and_windows():
     table[(c[0] * 64 + c[1]) * 64 + c[2]] = 100
     found = op.ToxicityModel(table, 0.0, ()).margins(["x" * 500 + "bad" + "y" * 500, "x" * 1000])
     assert found[0] > 1 and found[1] == 0
+
+
+def brute_score(model, text):
+    """Subsequence by subsequence, word by word."""
+    def margin(word):
+        best = -op.MARGIN
+        parts = [word] if len(word) <= op.WINDOW else [word[at : at + op.WINDOW] for at in range(0, len(word) - op.WINDOW // 2, op.WINDOW // 2)]
+        for part in parts:
+            codes, held = [op.START, *op.classes(part).tolist(), op.END], {}
+            for i in range(len(codes)):
+                for k in range(i + 2, min(len(codes), i + op.SPAN)):
+                    for j in range(i + 1, k):
+                        u = (codes[i] * op.CLASSES + codes[j]) * op.CLASSES + codes[k]
+                        held[u] = held.get(u, 0.0) + op.DECAY ** (k - i + 1)
+            if held:
+                norm = sum(v * v for v in held.values()) ** 0.5
+                best = max(best, min(op.MARGIN, max(-op.MARGIN, sum(float(model.table[u]) * v for u, v in held.items()) / norm + model.bias)))
+        return best
+
+    margins = sorted((margin(w.strip(op.EDGES) or w) for w in op.tokens(text or "")), reverse=True)
+    two = [max(-1, min(1, m)) for m in margins[:2]] + [-op.MARGIN] * (2 - len(margins[:2]))
+    features = [two[0], two[1], np.log1p(sum(m >= op.SURE for m in margins))]
+    return 1 / (1 + np.exp(-(model.document[0] + sum(w * f for w, f in zip(model.document[1:], features)))))
+
+
+def test_scores_like_brute_force(spark):
+    rows = list(sample(2, 300)) + [(900, None, 0), (901, "", 0), (902, "x" * 700 + " wretchta", 1), (903, "i d i o t wretch", 1)]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t, _ in rows], SCHEMA)
+    model = op.fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert np.abs(model.table).max() > 0
+    got = {r.doc_id: r.score for r in op.score_toxicity(docs, model).collect()}
+    assert [got[i] for i, t, _ in rows] == pytest.approx([brute_score(model, t) for _, t, _ in rows], abs=1e-3)
+
+
+def test_long_words_are_learned_whole_and_bounds_are_parameters(spark):
+    """An insult behind a hundred characters of a longer word is learned, and no sentence is long."""
+    r = random.Random(3)
+    rows = []
+    for k in range(300):
+        words = ["".join(r.choice(("ta", "ri", "mo", "len")) for _ in range(3)) for _ in range(12)]
+        if k % 3 == 0:
+            words.insert(4, "z" * 60 + "grumbzok" + "z" * 60)
+        rows.append((k, " ".join(words), int(k % 3 == 0)))
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in op.score_toxicity(docs, op.fit_toxicity(docs, labels)).collect()}
+    assert all((got[i] >= 0.7) == y for i, _, y in rows)
+    assert op.windows("a" * 24) == ["a" * 24] and "".join(w[:12] for w in op.windows("abcdef" * 20)) + op.windows("abcdef" * 20)[-1][12:] == "abcdef" * 20
+    bags = op._sentences(spark.createDataFrame([("w" * 50_000, 0)], "_text string, _y int"), frozenset()).collect()
+    assert max(sum(map(len, b.words)) for b in bags) <= op.SENTENCE_WORDS * op.WINDOW
+    few = op.fit_toxicity(docs, labels, toxic_rows=20, clean_rows=30, toxic_sentences=10, clean_sentences=10, hard_words=5, pointers=5, landmarks=8, seen_in=2)
+    assert few.table.shape == (op.CLASSES**3,)
