@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from lodestack.llm.common import pieces, stored
 
@@ -39,6 +40,8 @@ NUMBERED = 4 << 20
 
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: White space so long that tiktoken's pattern runs out of stack on it; such a piece is encoded by the tokenizers library itself.
+_LONG = re.compile(r"\s{10000}")
 
 #: Of a slab's tokens `a` and `b` (i, id, start, stop over the same bytes): each with the number g of its group. A group ends where tokens of both end; a
 #: running sum over these ends numbers the groups. A's tokens fall into them by an ASOF join; so do B's: by equality where one is a whole group, else by a range join.
@@ -102,6 +105,7 @@ class Aligner:
     """Aligns pieces of text and remembers those that are used most. The pairs of ids seen have places, from 0; forget() begins anew."""
 
     def __init__(self, byte_path: str, piece_path: str, remembered: int = REMEMBERED) -> None:
+        self.byte_path = byte_path
         self.a, self.bytes_a = load_bytewise(byte_path)
         self.b, self.bytes_b = load_pieces(piece_path)
         self.long_a, self.long_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
@@ -134,10 +138,17 @@ class Aligner:
 
     def learn(self, new: Iterable[str]) -> None:
         """Aligns pieces that are not known yet."""
-        spaced = [p for p in new if p[-1].isspace()]  # what follows would be read with their end, so each is encoded alone
-        for own in [*pieces([p for p in new if not p[-1].isspace()]), *([p] for p in spaced)]:
+        alone = {p for p in new if p[-1].isspace() or len(p) > 10_000 and _LONG.search(p)}  # the former would be read with what follows
+        for own in [*pieces([p for p in new if p not in alone]), *([p] for p in alone)]:
             self._align(own)
 
+    def _bytewise(self, text: str) -> list[int]:
+        if len(text) > 10_000 and _LONG.search(text):
+            whole = Tokenizer.from_file(self.byte_path)
+            whole.encode_special_tokens = True
+            return whole.encode(text, add_special_tokens=False).ids
+        return self.a.encode_ordinary(text)
+
     def _align(self, own: list[str]) -> None:
         data = [p.encode() for p in own]
         coded = self.b.encode([p[1:] for p in own], num_threads=1)  # it puts a space before all but an empty text
@@ -152,7 +163,7 @@ class Aligner:
                 if own:
                     self._align(own)
                 return
-        a, ends = np.array(self.a.encode_ordinary("".join(own)), np.int64), np.cumsum(list(map(len, data)))
+        a, ends = np.array(self._bytewise("".join(own)), np.int64), np.cumsum(list(map(len, data)))
         for name, ids, long in (("a", a, self.long_a), ("b", b, self.long_b)):
             stop = np.cumsum(long[ids])
             self.con.register(name, pa.table({"i": np.arange(len(ids)), "id": ids, "start": stop - long[ids], "stop": stop}))

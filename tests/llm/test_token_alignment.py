@@ -39,10 +39,13 @@ def brute(rows, a, b):
                     at = 0
                     ends.append([at := at + len(p) for p in parts])
                 cuts = sorted(set(ends[0]) & set(ends[1]))
-                low = 0
+                left = [list(zip(own, ids))[::-1] for own, ids in zip(ends, (ids_a, ids_b))]
                 for cut in cuts:
-                    groups.append(tuple([x for x, e in zip(ids, own) if low < e <= cut] for ids, own in zip((ids_a, ids_b), ends)))
-                    low = cut
+                    group = ([], [])
+                    for part, rest in zip(group, left):
+                        while rest and rest[-1][0] <= cut:
+                            part.append(rest.pop()[1])
+                    groups.append(group)
         out.append((i, groups))
         links.append(Counter((x, y) for ga, gb in groups for x in ga for y in gb))
     count = Counter(p for own in links for p in own)
@@ -94,6 +97,18 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_very_long_texts(both):
+    """Without spaces, and with long runs of them."""
+    from lodestack.llm.token_alignment import Aligner
+
+    own = Aligner(BYTE_PATH, PIECE_PATH)
+    texts = ["a" * 50_000, "x" + " " * 300_000 + "y z", "\n" * 12_000, "ab1!" * 5_000, "\t\t\tz" * 5_000, " " * 12_000]
+    sizes, hashes, _ = own.align(texts)
+    for k, t in enumerate(texts):
+        want = brute([(0, t)], *both)[0]
+        assert (tuple(sizes[k]), hashes[k]) == (want[1:5], want[7])
+
+
 def test_worker_that_forgets():
     from lodestack.llm.token_alignment import Aligner
 
