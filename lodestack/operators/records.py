@@ -119,5 +119,5 @@ def training_rows(rows: DataFrame, listing: DataFrame, labels: DataFrame, allow_
     found = real_labels(rows, listing).join(labels.select(F.col("path").alias("_path"), "lines", "values"), F.col("label_path") == F.col("_path"), "left")
     t = target(F.col("label_path"), F.col("lines"), F.col("values"), F.col("detections"), F.col("width"), F.col("height"), allow_pseudo, size)
     answer = chosen_answer(assistant_text(F.col("messages")), F.col("chosen_answer"))
-    made = found.select("row_id", "image", question_text(F.col("question"), F.col("messages")).alias("question"), answer.alias("answer"), t.alias("t"))
-    return made.select("row_id", "image", "question", "answer", "t.*")
+    # inline() makes a target once; as a column it would be made again for each of its fields
+    return found.select("row_id", "image", question_text(F.col("question"), F.col("messages")).alias("question"), answer.alias("answer"), F.inline(F.array(t)))
