@@ -90,7 +90,9 @@ def detection_cells(detections: Column, width: Column, height: Column, size: int
         outline = polygon_cells(points_of_polygon(d["polygon_xy_sample"], width, height, size))
         return F.coalesce(F.when(F.size(d["polygon_xy_sample"]) >= 3, outline).otherwise(box_cells(d["box_xyxy"], width, height, size)), empty)
 
-    found = F.array_distinct(F.flatten(F.transform(F.coalesce(detections, F.array()), cells)))
+    # as numbers, which are told apart by hashing; structs would all be compared with each other
+    places = F.array_distinct(F.flatten(F.transform(F.coalesce(detections, F.array()), lambda d: F.transform(cells(d), lambda c: c["y"] * size + c["x"]))))
+    found = F.transform(places, lambda p: F.struct(F.floor(p / size).cast("int").alias("y"), (p % size).cast("int").alias("x")))
     return F.when((width > 0) & (height > 0), found).otherwise(empty)
 
 
@@ -162,7 +164,7 @@ def label_mask(lines: Column, size: int = GRID) -> Column:
     """The mask of a label file's lines (an array of texts); lines of fewer than three points count for nothing."""
     empty = F.expr("cast(array() as array<struct<y:int,x:int>>)")
     cells = F.transform(lines, lambda line: F.coalesce(bound(points_of_label(line, size), lambda p: F.when(p.isNotNull(), polygon_cells(p))), empty))
-    return mask(F.array_distinct(F.flatten(F.coalesce(cells, F.array(empty)))), size)
+    return mask(F.flatten(F.coalesce(cells, F.array(empty))), size)
 
 
 def target(

@@ -126,3 +126,20 @@ def test_labels_of_records(spark):
     rows = spark.createDataFrame([(1, "d/images/t/a.png", None, "m.npy"), (2, "d/images/t/b.png", "", None), (3, "x.png", "gone.npy", None)], "row_id int, image string, mask_path string, yolo_label_path string")
     listing = spark.createDataFrame([("d/images/t/m.npy",), ("d/labels/t/b.txt",)], "path string")
     assert {r.row_id: r.label_path for r in P.real_labels(rows, listing).collect()} == {1: "d/images/t/m.npy", 2: "d/labels/t/b.txt", 3: None}
+
+
+def test_targets_are_made_once(spark):
+    """The fields of a training row share one target, and cells are told apart as numbers: structs would all be compared with each other."""
+    from lodestack.plans.record_queries import _labels, _records
+    from lodestack.operators import raster, records
+
+    sf = "/root/testdata/sf0.001"
+    labels = _labels(spark, sf)
+    rows = records.training_rows(_records(spark, sf), labels.select("path"), labels, allow_pseudo=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    alone = plan(rows.select("mask")).count("array_sort")
+    assert alone and plan(rows).count("array_sort") == alone
+    box = lambda *b: F.struct(F.lit("f").alias("label"), F.lit(0.5).alias("confidence"), F.array(*(F.lit(float(v)) for v in b)).alias("box_xyxy"), F.lit(None).cast("array<array<double>>").alias("polygon_xy_sample"))
+    cells = raster.detection_cells(F.array(box(0, 0, 2, 1), box(1, 0, 3, 1)), F.lit(31.0), F.lit(31.0))
+    made = spark.range(1).select(cells.alias("c"))
+    assert [tuple(c) for c in made.first().c] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2), (0, 3), (1, 3)]
