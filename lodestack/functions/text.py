@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # White space as str.split() knows it, for Java's regular expressions.
 WS = r"\s\x1c-\x1f\x85   -     　"
+#: The same, as the characters themselves.
+WHITE = "".join(re.findall(f"[{WS}]", "".join(map(chr, range(0x3001))), re.ASCII))
 
 # The vocabularies of the rule verifier, matched as whole words in any case.
 FAULT_TERMS = "fault|faulted|faulting|fracture|throw|offset|discontinuity|disrupted"
@@ -31,6 +33,8 @@ def filled_array(column: Column) -> Column:
 
 def strip(text: Column, chars: str = WS) -> Column:
     """text without leading and trailing characters of a class (white space by default)."""
+    if chars == WS:
+        return F.btrim(text, F.lit(WHITE))  # reads a long text once, where an expression is tried at each of its characters
     return F.regexp_replace(text, f"^[{chars}]+|[{chars}]+$", "")
 
 
@@ -122,8 +126,8 @@ def split_reasoning(text: Column) -> Column:
 def joined_reasoning(reasoning: Column, answer: Column) -> Column:
     """Steps without trailing dots and the answer, in one paragraph."""
     kept = F.filter(reasoning, lambda t: strip(t) != "")
-    steps = F.array_join(F.transform(kept, lambda t: F.regexp_replace(strip(t), r"\.+$", "")), ". ")
-    return F.when(F.coalesce(steps, F.lit("")) != "", F.concat(steps, F.lit(". "), answer)).otherwise(answer)
+    steps = F.array_join(F.transform(kept, lambda t: F.rtrim(strip(t), F.lit("."))), ". ")
+    return bound(steps, lambda s: F.when(F.coalesce(s, F.lit("")) != "", F.concat(s, F.lit(". "), answer)).otherwise(answer))
 
 
 def rendered(template: str, **values: Column) -> Column:

@@ -242,8 +242,8 @@ def q54_chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.regexp_replace("text", "[^a-zA-Z0-9]+", "")
     d = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("i/"), k).alias("image"), F.concat(F.lit("Q "), c("lang")).alias("q"), F.array(F.concat(F.lit("step "), w, F.lit("..")), F.lit(" ")).alias("steps"),
-        F.concat(F.lit("A "), k).alias("a"), F.when(c("doc_id") % 2 == 0, "raw").alias("raw"), w.alias("w"), F.lit(None).cast(DETECTIONS).alias("none"),
-    ).filter("w != ''")
+        F.concat(F.lit("A "), k).alias("a"), F.when(c("doc_id") % 2 == 0, "raw").alias("raw"), "text", F.lit(None).cast(DETECTIONS).alias("none"),
+    ).filter(F.col("text").rlike("[a-zA-Z0-9]")).drop("text")  # w is not empty
     sft = d.select("a", "raw", "steps", "q", *(x.alias(f"s_{n}") for x, n in zip(R.sft_record(c("image"), c("q"), c("steps"), c("a"), F.lit("merged"), c("none")), ("image", "question", "source", "detections", "steps", "answer", "messages"))))
     empty = F.expr(T.NO_STEPS)
     full = R.instruction_record(c("s_image"), F.lit("train"), c("q"), c("s_detections"), (c("raw"), c("steps"), c("a")), (F.lit(None).cast("string"), empty, F.lit("B")), (c("raw"), c("steps"), c("a")))

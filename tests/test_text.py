@@ -117,3 +117,15 @@ def test_quoted_texts(spark):
     assert [r.x for r in df.orderBy("k").select(T.quoted(F.col("t")).alias("x")).collect()] == [repr(t) for t in texts]
     note = df.filter("k = 6").select(T.chosen_decoding(F.array(F.lit(""), F.lit("<unk>")), F.array(F.lit(1), F.lit(2))).alias("x")).first().x
     assert note == "[empty decoded output] raw='<unk>' token_ids=[1, 2]"
+
+
+def test_strip_and_steps_read_a_text_once(spark):
+    """Stripping gives what the expression and str.strip() give, and needs no expression; joined steps stand once in their paragraph."""
+    odd = ["", " ", "\t\x1c a b 　\n", "\x85x .", "​x​", "₩  ", " 'a' \\s ", "a\n\n", "- x -"]
+    df = spark.createDataFrame([(t,) for t in [*odd, None]], "t string")
+    old = F.regexp_replace("t", f"^[{T.WS}]+|[{T.WS}]+$", "")
+    rows = df.select("t", T.strip(F.col("t")).alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old and (r.t is None or r.new == r.t.strip()) for r in rows)
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan(T.strip(F.col("t")))
+    assert plan(T.joined_reasoning(F.array("t"), F.lit("A"))).count("array_join") == 1
