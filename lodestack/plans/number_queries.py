@@ -305,5 +305,5 @@ def q67_labels_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = F.concat(cells(k % 11, k % 7, k % 5, k % 3), cells(k % 9 + 18, k % 13, k % 4, k % 6))
     masks = table(spark, sf_dir, "customer").select("c_custkey", F.lit(32).alias("height"), F.lit(32).alias("width"), G.mask(both).alias("values"))
-    lines = with_outlines(masks).select("c_custkey", label_lines(F.col("outlines"), F.col("height"), F.col("width")).alias("l"))
+    lines = with_outlines(masks, keep_values=False).select("c_custkey", label_lines(F.col("outlines"), F.col("height"), F.col("width")).alias("l"))
     return lines.select("c_custkey", F.array_join("l", "|").alias("lines"), F.size("l").cast("bigint").alias("regions"))

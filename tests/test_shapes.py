@@ -118,3 +118,17 @@ def test_points_in_polygons_like_brute_force(spark, cell):
     both = p.crossJoin(q.filter("size(outline) >= 3")).filter(G.contains(F.col("outline"), F.col("x"), F.col("y")))
     want = sorted((r.point, r.polygon) for r in both.collect())
     assert sorted((r.point, r.polygon) for r in found.collect()) == want and len(want) > 100
+
+
+def test_outlines_together_like_one_by_one(monkeypatch):
+    draw = np.random.default_rng(5)
+    some = [*masks(60), *(draw.random((int(draw.integers(1, 30)), int(draw.integers(1, 40)))) < draw.choice([0.1, 0.5, 0.9, 1.0]) for _ in range(200)), np.kron(draw.random((9, 9)) < 0.6, np.ones((20, 20), bool))]
+    for together in (1, 2_000, O.TOGETHER):
+        monkeypatch.setattr(O, "TOGETHER", together)
+        for simplify in (True, False):
+            got = O.outlines_together(some, simplify)
+            with monkeypatch.context() as m:
+                m.setattr(O, "SHORT", 0)  # all by arrays
+                want = [O.outlines(x, simplify) for x in some]
+            assert [[o.tolist() for o in own] for own in got] == [[o.tolist() for o in own] for own in want]
+    assert O.outlines_together([]) == []
