@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ LOW, HIGH, LEAST_SPAN = 0.01, 0.99, 1e-6
 REQUEST_SIDE, TRAINING_SIDE = 1280, 512
 #: Opacity and threshold of an overlay.
 ALPHA, THRESHOLD = 0.45, 0.5
+#: Numbers that with_upsampled() makes at a time.
+PIECE = 1 << 18
 
 
 def robust_range(pixels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -98,28 +102,54 @@ def section_bytes(values: Column) -> Column:
 
 
 def bilinear(grid: np.ndarray, size: int) -> np.ndarray:
-    """A square grid resampled to size by size; cell centres are aligned, not corners."""
-    n = grid.shape[0]
+    """A square grid (or many, along further axes) resampled to size by size; cell centres are aligned, not corners."""
+    n, more = grid.shape[0], (1,) * (grid.ndim - 2)
     at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
     low = np.floor(at).astype(int)
     high, part = np.minimum(low + 1, n - 1), at - low
-    rows = grid[low] * (1 - part)[:, None] + grid[high] * part[:, None]
-    return rows[:, low] * (1 - part)[None, :] + rows[:, high] * part[None, :]
+    down, across = part.reshape(-1, 1, *more), part.reshape(1, -1, *more)
+    rows = grid[low] * (1 - down) + grid[high] * down
+    return rows[:, low] * (1 - across) + rows[:, high] * across
+
+
+def _resampled(values: pa.Array, size: int) -> np.ndarray:
+    """A row of size * size numbers for each array of scores (null: none); arrays of one length are resampled together."""
+    out = np.empty((len(values), size * size))
+    lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths):
+        some = np.flatnonzero(lengths == n)
+        side = max(1, int(np.ceil(np.sqrt(n))))
+        grid = np.zeros((len(some), side * side))
+        if n:
+            grid[:, :n] = values.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), n)
+        out[some] = bilinear(np.moveaxis(grid.reshape(-1, side, side), 0, -1), size).reshape(size * size, -1).T
+    return out
+
+
+def with_upsampled(rows: DataFrame, tokens: str, into: str, size: int = 32) -> DataFrame:
+    """rows with a column `into`: scores of tokens on the smallest square that holds them, the rest 0, resampled to size by size.
+
+    In Arrow batches that are handled and given back in pieces of about PIECE numbers (or one row), so that memory depends neither on the rows of a batch nor on the input.
+    """
+    rows = rows.withColumn(tokens, F.col(tokens).cast("array<double>"))
+    schema = rows.drop(into).withColumn(into, F.lit(None).cast("array<double>")).schema
+    names, step = schema.names, max(1, PIECE // (size * size))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
+            found = _resampled(batch.column(tokens), size)
+            column = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * (size * size), pa.array(found.ravel(), from_pandas=True))  # not a number: null, as from a UDF
+            yield pa.RecordBatch.from_arrays([column if n == into else batch.column(n) for n in names], names)
+
+    return rows.drop(into).mapInArrow(of, schema)
 
 
 def upsampled(tokens: Column, size: int = 32) -> Column:
-    """Scores of tokens on the smallest square that holds them, the rest 0, resampled to size by size (a vectorised UDF)."""
+    """As with_upsampled(), as a column (a vectorised UDF); it holds a whole batch of results, so for many rows or large sizes take with_upsampled()."""
 
     @F.pandas_udf("array<double>")
     def of(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            v = np.zeros(0) if v is None else np.asarray(v, float)
-            side = max(1, int(np.ceil(np.sqrt(len(v)))))
-            grid = np.zeros(side * side)
-            grid[: len(v)] = v
-            out.append(bilinear(grid.reshape(side, side), size).ravel())
-        return pd.Series(out)
+        return pd.Series(list(_resampled(pa.array(values, pa.list_(pa.float64())), size)))
 
     return of(tokens)
 

@@ -405,8 +405,8 @@ def q63_ok_and_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, count(*) AS cells, round(sum(v * (c % 7)), 4) + 0 AS checksum FROM v GROUP BY vec_id"""
 )
 def q64_upsampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as token scores on a square, resampled to the mask's size by a vectorised function."""
-    up = table(spark, sf_dir, "embeddings").select("vec_id", I.upsampled(F.col("embedding")).alias("u"))
+    """Vectors as token scores on a square, resampled to the mask's size in Arrow batches."""
+    up = I.with_upsampled(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", "u")
     total = F.aggregate(F.transform("u", lambda v, k: v * (k % 7)), F.lit(0.0), lambda a, v: a + v)
     return up.select("vec_id", F.size("u").cast("bigint").alias("cells"), (F.round(total, 4) + F.lit(0.0)).alias("checksum"))
 

@@ -1,3 +1,7 @@
+import math
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +184,18 @@ def test_generation_keeps_failures_apart(spark):
     scanned = spark.createDataFrame([(f"{k}", n) for k, n in enumerate([0, 0, 2, 1])], "image string, n int")
     for most, want in ((3, {(False, "0"), (True, "2")}), (2, {(False, "0")})):
         assert {(r.has, r.image) for r in providers.sample_pair(scanned, F.col("n") > 0, most=most).collect()} == want
+
+
+def test_upsampled_rows_in_pieces(spark, monkeypatch):
+    """The same numbers as the column gives, and no more than a few rows come back at a time."""
+    draw = random.Random(4)
+    rows = [(k, [draw.gauss(0, 1) for _ in range(draw.choice((0, 1, 3, 16, 64)))]) for k in range(300)] + [(900, None), (901, [1.0, None])]
+    df = spark.createDataFrame(rows, "k int, t array<double>").coalesce(1)
+    monkeypatch.setattr(I, "PIECE", 7 * 25)
+    found = {r.k: r.u for r in I.with_upsampled(df, "t", "u", 5).collect()}
+    want = {r.k: r.u for r in df.select("k", I.upsampled(F.col("t"), 5).alias("u")).collect()}
+    assert repr(found) == repr(want) and len(found) == 302
+    for k, t in rows[:300]:
+        side = max(1, math.ceil(math.sqrt(len(t))))
+        grid = np.array([*t, *[0.0] * (side * side - len(t))]).reshape(side, side)
+        assert found[k] == I.bilinear(grid, 5).ravel().tolist()
