@@ -107,3 +107,26 @@ def test_all_stages_with_near_copies(spark, tmp_path):
         assert abs(taken[s] - target) <= 60
     assert sorted(r.doc_id for r in kept["sentencepiece encoding"]) == sorted(r.doc_id for r in kept["mixing sources"])
     assert all(r.round_trip for r in kept["sentencepiece encoding"])
+
+
+def test_fingerprints_find_and_judge_pairs(spark, monkeypatch):
+    """By the SimHash search alone texts within two bits are found; and pairs of the bands count within REACH bits only."""
+    import numpy as np
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(3_000)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{r.randrange(3_000)}" for _ in range(900))]
+    sets = [op.shingles(t.encode()) for t in texts]
+    prints = [op.simhash(s) for s in sets]
+    for s, p in zip(sets, prints):
+        assert p % 2**64 == sum((2 * sum(int(h) >> k & 1 for h in s) > len(s)) << k for k in range(64))
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and op.simhash(np.zeros(0, np.uint64)) == 0
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA)
+    found = lambda: {x.doc_id: x.component_id for x in op.near_copies(docs).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(op, "shared_keys", lambda bands: bands.selectExpr("node", "0L as key", "node as lead").limit(0))
+        assert found() == {0: 0, 1: 0, 2: 2}
+    monkeypatch.setattr(op, "searched_pairs", lambda p: p.selectExpr("node as a", "node as b").limit(0))
+    assert found() == {0: 0, 1: 0, 2: 2}
+    monkeypatch.setattr(op, "REACH", -1)
+    assert found() == {0: 0, 1: 1, 2: 2}
