@@ -132,3 +132,14 @@ def test_outlines_together_like_one_by_one(monkeypatch):
                 want = [O.outlines(x, simplify) for x in some]
             assert [[o.tolist() for o in own] for own in got] == [[o.tolist() for o in own] for own in want]
     assert O.outlines_together([]) == []
+
+
+def test_points_of_one_place_are_tested_once(spark):
+    """Points that share a place come out each, and the test stands above the distinct places."""
+    points = spark.createDataFrame([(k, float(k % 5), float(k % 3)) for k in range(600)] + [(900, -0.0, 0.0), (901, None, 1.0)], "point int, x double, y double")
+    q = spark.createDataFrame([(7, [dict(x=-0.5, y=-0.5), dict(x=2.5, y=-0.5), dict(x=2.5, y=1.5), dict(x=-0.5, y=1.5)])] * 2, "polygon int, outline array<struct<x: double, y: double>>")
+    found = points_in_polygons(points, q, 2.0)
+    assert sorted(r.point for r in found.collect()) == sorted(2 * [*(k for k in range(600) if k % 5 <= 2 and k % 3 <= 1), 900])
+    assert found.columns == ["point", "x", "y", "polygon"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_x#" in plan and plan.index("lambdafunction") < plan.index("Aggregate [_x#")
