@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import stored
+from lodestack.llm.common import drop_stored, sent, stored
 from lodestack.llm.shingle_dedup import BATCH, near_copies
 
 #: Tokens of the shortest run that counts as repeated, and the share of a block that such runs must cover.
@@ -24,6 +24,10 @@ COVERED = 0.8
 SHARD_CHARS = 8_000_000
 #: Hosts with several shards that are broadcast at most; more of them are joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: A run of words is of a host's template if this share of the host's pages holds it, this share of their families of near copies, and so many families at least.
+TEMPLATE_SHARE, TEMPLATE_FAMILIES = 0.75, 5
+#: Characters of HTML of one host that share a suffix array where templates are sought, about, and pages at least.
+TEMPLATE_CHARS, TEMPLATE_PAGES = 1_000_000, 10
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -232,6 +236,16 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
+def run_groups(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and where in it each group of suffixes begins that agree in `least` tokens."""
+    order = suffix_array(tokens)
+    padded = np.concatenate((tokens, np.full(least, np.iinfo(np.int64).min)))
+    same = np.ones(len(order) - 1, bool)  # neighbours that agree in `least` tokens
+    for k in range(least):
+        same &= padded[order[1:] + k] == padded[order[:-1] + k]
+    return order, np.concatenate(([0], np.flatnonzero(~same) + 1))
+
+
 def windows(words: Sequence[str], least: int = RUN_TOKENS) -> list[int]:
     """A signed 64-bit hash of each run of `least` words, in order."""
     digest = xxhash.xxh64_intdigest
@@ -255,16 +269,9 @@ def repeated(pages: Sequence[Sequence[str]], least: int = RUN_TOKENS, families:
     tokens, page = np.array(stream, np.int64), np.array(of_page, np.int64)
     covered = np.zeros(len(tokens) + 1, np.int64)
     if len(tokens) > least:
-        order = suffix_array(tokens)
-        padded = np.concatenate((tokens, np.full(least, np.iinfo(np.int64).min)))
-        same = np.ones(len(order) - 1, bool)  # neighbours that agree in `least` tokens
-        for k in range(least):
-            same &= padded[order[1:] + k] == padded[order[:-1] + k]
-        group = np.concatenate(([0], np.cumsum(~same)))
-        first, last = page[order].copy(), page[order].copy()
-        cuts = np.concatenate(([0], np.flatnonzero(~same) + 1))
-        first, last = np.minimum.reduceat(first, cuts), np.maximum.reduceat(last, cuts)
-        starts = order[(first != last)[group]]
+        order, cuts = run_groups(tokens, least)
+        first, last = np.minimum.reduceat(page[order], cuts), np.maximum.reduceat(page[order], cuts)
+        starts = order[np.repeat(first != last, np.diff(cuts, append=len(order)))]
         np.add.at(covered, starts, 1)
         np.add.at(covered, starts + least, -1)
     begin = 0
@@ -287,28 +294,162 @@ def repeated(pages: Sequence[Sequence[str]], least: int = RUN_TOKENS, families:
     return out
 
 
-def _parsed(rows: DataFrame, trust_articles: bool) -> DataFrame:
-    """The main blocks of pages that mark their article, if that is to be trusted; else those that are not furniture by their markup, `loose`. `rest`: all others.
-
-    A mark is trusted if what it holds is at least half of the page's text that is no furniture; one that holds a teaser beside the article is not.
+def common_runs(pages: Sequence[Sequence[str]], holders: int, length: int = RUN_TOKENS) -> list[int]:
+    """Hashes, as windows() gives them, of the runs of `length` words that `holders` pages or more have, found by a suffix array over the words of all."""
+    words = [w for own in pages for w in (*own, None)]
+    ids, _ = pd.factorize(np.array(words, object))  # none: -1
+    page = np.repeat(np.arange(len(pages)), [len(own) + 1 for own in pages])
+    tokens = np.where(ids < 0, -1 - page, ids)  # what ends a page is unlike all else, so no run goes on into the next
+    if len(tokens) <= length:
+        return []
+    order, cuts = run_groups(tokens, length)
+    size = np.diff(cuts, append=len(order))
+    some = np.repeat(size >= holders, size)
+    held = np.unique(np.repeat(np.arange(len(cuts)), size)[some] * len(pages) + page[order[some]]) // len(pages)
+    starts = order[cuts[np.bincount(held, minlength=len(cuts)) >= holders]]
+    runs = (words[k : k + length] for k in starts.tolist())
+    return sorted(h for own in runs if len(own) == length and None not in own for h in windows(own, length))
+
+
+def of_template(own: Sequence[str], hits: frozenset[int], least: int = RUN_TOKENS) -> list[bool]:
+    """Whether each block of a page is covered by runs whose hashes are in `hits`. Runs go on from block to block."""
+    words = [b.split() for b in own]
+    if not hits:
+        return [False] * len(words)
+    covered = np.zeros(sum(map(len, words)), bool)
+    for k, h in enumerate(windows([w for b in words for w in b], least)):
+        if h in hits:
+            covered[k : k + least] = True
+    ends = np.cumsum([0, *map(len, words)])
+    return [bool(covered[i:j].mean() >= COVERED) if j > i else False for i, j in zip(ends, ends[1:])]
+
+
+def divided(found: Sequence[Block], hits: frozenset[int] = frozenset(), trust_articles: bool = True) -> tuple[list[str], list[str], list[str]]:
+    """main, loose, rest: the blocks of a marked article, if the mark is to be trusted; else those that are not furniture by their markup; all others.
+
+    hits: the runs of the host's template. What they cover is no text of an article and counts for nothing when a mark is weighed: it is trusted if what it holds besides is at
+    least half of the page's text that is no furniture; one that holds a teaser or a part of the template is not.
     """
+    text = [b for b in found if not b.chrome]
+    common = of_template([b.text for b in text], hits)
+    own, other = (sum(len(b.text) for b, t in zip(text, common) if b.inside == inside and not t) for inside in (True, False))
+    chrome = [b.text for b in found if b.chrome]
+    if trust_articles and own > 0 and own >= other:
+        kept = [b.inside and not t for b, t in zip(text, common)]
+        return [b.text for b, k in zip(text, kept) if k], [], [*chrome, *(b.text for b, k in zip(text, kept) if not k)]
+    return [], [b.text for b in text], chrome
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """rows without _html, but with `blocks`, and `inside` and `chrome` of each."""
     names = [c for c in rows.columns if c != "_html"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            main, loose, rest = [], [], []
-            for x in batch.column("_html"):
-                found = blocks(x.as_py() or "")
-                own, other = (sum(len(b.text) for b in found if b.inside == inside and not b.chrome) for inside in (True, False))
-                marked = trust_articles and own > 0 and own >= other
-                main.append([b.text for b in found if marked and b.inside and not b.chrome])
-                loose.append([b.text for b in found if not marked and not b.chrome])
-                rest.append([b.text for b in found if b.chrome or marked and not b.inside])
-            lists = [pa.array(v, pa.list_(pa.string())) for v in (main, loose, rest)]
+            found = [blocks(x.as_py() or "") for x in batch.column("_html")]
+            texts = pa.array([[b.text for b in own] for own in found], pa.list_(pa.string()))
+            flags = [pa.array([[getattr(b, n) for b in own] for own in found], pa.list_(pa.bool_())) for n in ("inside", "chrome")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), texts, *flags], [*names, "blocks", "inside", "chrome"])
+
+    return rows.mapInArrow(of, f"{_kinds(rows, names)}, blocks array<string>, inside array<boolean>, chrome array<boolean>")
+
+
+def _kinds(rows: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+
+
+def _divided(parsed: DataFrame, trust_articles: bool) -> DataFrame:
+    """divided() for each row: main, loose and rest instead of blocks, inside, chrome and _template, the runs of the host's template."""
+    names = [c for c in parsed.columns if c not in ("blocks", "inside", "chrome", "_template")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("blocks", "inside", "chrome", "_template")]
+            found = [divided([Block(*b) for b in zip(*own)], frozenset(hits or ()), trust_articles) for *own, hits in zip(*columns)]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.string())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *lists], [*names, "main", "loose", "rest"])
 
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(of, f"{kinds}, main array<string>, loose array<string>, rest array<string>")
+    return parsed.mapInArrow(of, f"{_kinds(parsed, names)}, main array<string>, loose array<string>, rest array<string>")
+
+
+def _articles(rows: DataFrame) -> DataFrame:
+    """_id, _url, text of pages of hosts without a template that all mark their articles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(divided(blocks(x.as_py() or ""))[0]) for x in batch.column("_html")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], ["_id", "_url", "text"])
+
+    return rows.select("_id", "_url", "_html").mapInArrow(of, f"{_kinds(rows, ['_id', '_url'])}, text string")
+
+
+def _sought(rows: DataFrame) -> DataFrame:
+    """(_host, _loose, _runs): for each shard of a host whether one of its pages has text and no mark to trust, and the runs that TEMPLATE_SHARE of its different pages hold.
+
+    A suffix array over a shard's text that is no furniture by its markup finds the runs. What so many pages of a host hold, so many of one shard hold, whichever way they are dealt, so the
+    shards' runs hold all of the host's. Pages of equal text are dealt to one shard, and each task sends one of them.
+    """
+    share, least = TEMPLATE_SHARE, TEMPLATE_FAMILIES
+    most = F.least(F.ceil(F.sum(F.length("_html")) / TEMPLATE_CHARS), F.ceil(F.count(F.lit(1)) / TEMPLATE_PAGES))
+    large = stored(rows.groupBy(F.col("_host").alias("_of")).agg(most.cast("int").alias("_shards")).filter("_shards > 1"), "template-hosts")
+    dealt = rows.join(sent(large, most=MOST_BROADCAST), F.col("_host") == F.col("_of"), "left").select("_host", F.coalesce("_shards", F.lit(1)).alias("_shards"), "_html")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int, bool]] = set()
+        for batch in batches:
+            out = []
+            for host, n, page in zip(*(batch.column(k) for k in range(3))):
+                host, found = host.as_py(), blocks(page.as_py() or "")
+                text = " ".join(b.text for b in found if not b.chrome)
+                row = (host, xxhash.xxh64_intdigest(text) >> 1, bool(divided(found)[1]))
+                if row not in seen:
+                    seen.add(row)
+                    out.append((host, n.as_py(), *row[1:], text))
+            columns = list(zip(*out)) or [()] * 5
+            types = (pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_host", "_shards", "_text_hash", "_loose", "_text"])
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        once = pdf.drop_duplicates("_text_hash")
+        holders = max(int(np.ceil(share * len(once) - 1e-9)), least if once["_shards"].iloc[0] == 1 else 1)
+        found = common_runs([t.split() for t in once["_text"]], holders) if len(once) >= holders else []
+        return pd.DataFrame({"_host": [pdf["_host"].iloc[0]], "_loose": [bool(pdf["_loose"].any())], "_runs": [found]})
+
+    texts = dealt.mapInArrow(of, "_host string, _shards int, _text_hash bigint, _loose boolean, _text string")
+    # one key for host and shard, as in main_text()
+    texts = texts.withColumn("_shard", F.concat_ws(" ", F.pmod("_text_hash", F.col("_shards")), "_host"))
+    return stored(texts.groupBy("_shard").applyInPandas(runs, "_host string, _loose boolean, _runs array<bigint>"), "template-runs")
+
+
+def _templates(parsed: DataFrame, sought: DataFrame) -> DataFrame:
+    """(_templated, _template): hosts and the runs of their templates, of those that were found in one shard or more: pages and families that hold them are counted over the whole host.
+
+    parsed: pages of these hosts, with `blocks` and `chrome`.
+    """
+    asked = sought.filter(F.size("_runs") > 0).select("_host", F.explode("_runs").alias("run")).groupBy("_host").agg(F.collect_set("run").alias("_runs"))
+    asked = stored(asked.select(F.col("_host").alias("_asked"), "_runs"), "template-asked")
+    kept = F.transform(F.filter(F.arrays_zip("blocks", "chrome"), lambda b: ~b["chrome"]), lambda b: b["blocks"])
+    texts = parsed.join(sent(asked.select("_asked"), most=MOST_BROADCAST), F.col("_host") == F.col("_asked"), "left_semi").select("_host", F.array_join(kept, " ").alias("text"))
+    texts = stored(texts.withColumn("_page", F.xxhash64("_host", "text")).dropDuplicates(["_page"]), "template-pages")
+    families = near_copies(texts.select(F.col("_page").alias("doc_id"), "text"), size=RUN_TOKENS).select(F.col("doc_id").alias("_of_page"), F.col("component_id").alias("family"))
+    pages = stored(texts.join(families, F.col("_page") == F.col("_of_page")).select("_host", "family", "text"), "template-families")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, BATCH) for b in batches for k in range(0, b.num_rows, BATCH)):
+            out = []
+            for host, family, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(host, family, h) for h in set(windows(text.split())) & set(runs)]
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "family", "run"])
+
+    joined = pages.join(asked, F.col("_host") == F.col("_asked")).select("_host", "family", "text", "_runs")
+    # a row for each family, with its pages counted on the map side
+    held = joined.mapInArrow(of, "host string, family bigint, run bigint").groupBy("host", "run", "family").agg(F.count(F.lit(1)).alias("pages"))
+    held = held.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("families"))
+    of_host = pages.groupBy("_host", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("_host").agg(F.sum("n").alias("all_pages"), F.count(F.lit(1)).alias("all_families"))
+    common = (F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages") - 1e-9) & (F.col("families") >= F.greatest(F.lit(TEMPLATE_FAMILIES), TEMPLATE_SHARE * F.col("all_families") - 1e-9))
+    found = held.join(of_host, F.col("host") == F.col("_host")).filter(common)
+    return stored(found.groupBy(F.col("host").alias("_templated")).agg(F.collect_set("run").alias("_template")), "templates")
 
 
 def _families(unmarked: DataFrame) -> DataFrame:
@@ -339,27 +480,52 @@ def _known(rows: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trust_articles: bool = True) -> DataFrame:
-    """One row per input row: id_col, url_col, text, n_chars. Without trust_articles the suffix array decides about every block that is no furniture, in articles too.
+    """One row per input row: id_col, url_col, text, n_chars. Without trust_articles the suffix array decides about every block that is no furniture, in articles too, by the rule for pages without a mark.
 
-    Pages are parsed where they are read. On a page that marks an article or main element with at least half of its text that is no furniture, markup decides alone: what stands in it
-    and is no furniture is the text, all else is dropped. On other pages runs of RUN_TOKENS tokens or more that two pages of a host share are boilerplate, and blocks covered by them are removed; the menus and margins of marked
-    pages count there, too. Rows of a host with the same blocks are one page, and near copies (shingle_dedup.near_copies() over runs of RUN_TOKENS words) are one family:
-    what only they share is no boilerplate. Runs are found by a suffix array over a host's pages; a large host is dealt into several by hash of the page,
-    and the runs that its shards share are joined by their hashes, so a host's size changes no result. Hosts whose pages are all marked need none of this.
+    The text of all pages that is no furniture by its markup goes through suffix arrays by host, which find the host's template: runs of RUN_TOKENS tokens or more on TEMPLATE_SHARE
+    of its pages and of their families. An article or main element is trusted if it has at least half of the page's text that is neither furniture nor template; blocks in it
+    that the template covers are dropped, and other text that articles share is theirs. On pages without such an element runs that two pages of a host share are
+    boilerplate, and blocks covered by them are removed; the menus and margins of marked pages count there, too. Rows of a host with the same blocks are one page, and near copies
+    (shingle_dedup.near_copies() over runs of RUN_TOKENS words) are one family: what only they share is no boilerplate. A large host is dealt into several arrays by hash of the page,
+    and what its shards find is joined by hashes, so a host's size changes no result. Pages of hosts that have no template and mark all their articles are parsed where they are read, and move no further.
 
     A null page counts as empty, and its text is empty, as is that of a page without main text; a null or odd url is a host of its own; repeated
     rows are told apart and given back each; broken markup never fails; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host.alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    parsed = stored(_parsed(rows.withColumn("_size", F.length("_html")), trust_articles), "parsed-pages")
-    marked = F.array_join("main", "\n")
+    marked, untouched, once = F.array_join("main", "\n"), None, None
+    picked = rows.withColumn("_size", F.length("_html"))
+    no_template = F.array().cast("array<bigint>").alias("_template")
+    if not trust_articles:
+        whole = _parsed(picked).select("*", no_template)
+    else:
+        sought = _sought(rows)
+        touched = stored(sought.groupBy(F.col("_host").alias("_touched")).agg(F.max(F.col("_loose") | (F.size("_runs") > 0)).alias("_any")).filter("_any").select("_touched"), "touched-hosts")
+        n_touched = touched.count()
+        if not n_touched:
+            return _named(_articles(rows), id_col, url_col)
+        one_of = (sent(touched, n_touched, MOST_BROADCAST), F.col("_host") == F.col("_touched"))
+        untouched = _articles(rows.join(*one_of, "left_anti"))
+        whole = once = stored(_parsed(picked.join(*one_of, "left_semi")), "whole-pages")
+        if sought.filter(F.size("_runs") > 0).isEmpty():
+            whole = whole.select("*", no_template)
+        else:
+            templates = _templates(whole, sought)
+            whole = whole.join(sent(templates, most=MOST_BROADCAST), F.col("_host") == F.col("_templated"), "left").drop("_templated")
+    parsed = stored(_divided(whole, trust_articles), "parsed-pages")
+    if once is not None:
+        drop_stored(once)
+
+    def named(found: DataFrame) -> DataFrame:
+        return _named(found if untouched is None else found.unionByName(untouched), id_col, url_col)
+
     has_loose = F.size("loose") > 0
     hosts = parsed.groupBy("_host").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / SHARD_CHARS)).cast("int").alias("_shards"), F.max(has_loose).alias("_any"))
     hosts = stored(hosts.filter("_any").select(F.col("_host").alias("_of"), "_shards"), "hosts")
     n_hosts = hosts.count()
     if not n_hosts:
-        return _named(parsed.select("_id", "_url", marked.alias("text")), id_col, url_col)
+        return named(parsed.select("_id", "_url", marked.alias("text")))
     hosts_of = F.broadcast(hosts) if n_hosts <= MOST_BROADCAST else hosts
     joined = parsed.join(hosts_of, F.col("_host") == F.col("_of"), "left")
     alone = joined.filter("_of is null").select("_id", "_url", marked.alias("text"))
@@ -388,7 +554,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     of_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     found = dealt.select(*kept).groupBy("_shard").applyInPandas(without_boilerplate, f"{of_type}, text string")
-    return _named(found.unionByName(alone), id_col, url_col)
+    return named(found.unionByName(alone))
 
 
 def _named(out: DataFrame, id_col: str, url_col: str) -> DataFrame:

@@ -188,3 +188,83 @@ def test_a_mark_that_holds_a_teaser_only_is_not_trusted(spark):
     assert got[2].split("\n")[-2] == "Heading"
     equal = "<main><p>aaaa</p></main><p>bbbb</p>"
     assert [r.text for r in run(spark, [(1, "http://h/1", equal)])] == ["aaaa"]
+
+
+def test_common_runs_like_brute_force():
+    r = random.Random(3)
+    for _ in range(100):
+        pages = [[r.choice("abc") for _ in range(r.randrange(12))] for _ in range(r.randrange(1, 7))]
+        for holders in (1, 2, 3):
+            runs = {h for own in pages for h in op.windows(own, 3)}
+            assert op.common_runs(pages, holders, 3) == sorted(h for h in runs if sum(h in op.windows(own, 3) for own in pages) >= holders)
+
+
+def test_template_within_marked_articles(spark):
+    follow, shared = "follow us on the usual channels and miss no story", "a line that some articles of a host have in common"
+
+    def page(k, *more):
+        return f"<nav>menu</nav><article><p>{words_of(k, 40)}</p>{''.join(f'<p>{m}</p>' for m in more)}</article><footer>made by us</footer>"
+
+    rows = [(k, f"http://a.example/{k}", page(k, follow, *[shared] * (k < 4))) for k in range(8)]
+    # too few pages for a template, near copies of one page, and a main element that holds the template alone
+    rows += [(10 + k, f"http://b.example/{k}", page(10 + k, follow)) for k in range(4)]
+    rows += [(20 + k, f"http://c.example/{k}", page(20, follow, f"number {k}")) for k in range(8)]
+    rows += [(30 + k, f"http://d.example/{k}", f"<main><p>{words_of(99, 30)}</p></main><div><p>{words_of(30 + k, 20)}</p></div>") for k in range(8)]
+    got = {r.page_id: r.text for r in run(spark, rows)}
+    assert got == {
+        **{k: "\n".join([words_of(k, 40), *[shared] * (k < 4)]) for k in range(8)},
+        **{10 + k: f"{words_of(10 + k, 40)}\n{follow}" for k in range(4)},
+        **{20 + k: f"{words_of(20, 40)}\n{follow}\nnumber {k}" for k in range(8)},
+        **{30 + k: words_of(30 + k, 20) for k in range(8)},
+    }
+
+
+def brute_articles(pages):
+    """Texts of marked pages of one host: a block goes if 0.8 of its tokens lie in runs of six that three quarters of the pages and of the families hold, five families at least."""
+    flat = [tuple(" ".join(own).split()) for own in pages]
+    runs = {w: {w[i : i + 6] for i in range(max(1, len(w) - 5))} for w in flat}
+    distinct = list(runs)
+    family = {w: k for k, w in enumerate(distinct)}
+    for a in distinct:
+        for b in distinct:
+            if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]):
+                family = {w: family[a] if f == family[b] else f for w, f in family.items()}
+    held = {}
+    for w in distinct:
+        for x in runs[w]:
+            held.setdefault(x, []).append(family[w])
+    template = {x for x, f in held.items() if len(f) >= 0.75 * len(distinct) and len(set(f)) >= max(5, 0.75 * len(set(family.values())))}
+    out = []
+    for own, w in zip(pages, flat):
+        hit = [any(w[j : j + 6] in template for j in range(max(0, i - 5), i + 1)) for i in range(len(w))]
+        kept, at = [], 0
+        for b in own:
+            n = len(b.split())
+            kept += [b] if sum(hit[at : at + n]) < 0.8 * n else []
+            at += n
+        out.append("\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("chars,least", [(1_000_000, 10), (1_500, 2)])
+def test_marked_pages_like_brute_force(spark, monkeypatch, chars, least):
+    monkeypatch.setattr(op, "TEMPLATE_CHARS", chars)
+    monkeypatch.setattr(op, "TEMPLATE_PAGES", least)
+    r = random.Random(11)
+    rows, want = [], []
+    for host in range(5):
+        common = [(words_of(900 + 10 * host + k, r.randrange(6, 12)), share) for k, share in enumerate((0.97, 0.85, 0.75, 0.7, 0.3))]
+        pages = []
+        for k in range((4, 9, 20, 30, 40)[host]):
+            if pages and r.random() < 0.2:
+                own = list(r.choice(pages))
+                own[-1] += r.choice(("", " and"))
+            else:
+                own = [c for c, share in common if r.random() < share] + [words_of(10_000 * host + k * 10 + j, r.randrange(3, 40)) for j in range(r.randrange(1, 4))]
+                r.shuffle(own)
+            pages.append(own)
+        rows += [(100 * host + k, f"http://h{host}.example/{k}", f"<article>{''.join(f'<p>{b}</p>' for b in own)}</article>") for k, own in enumerate(pages)]
+        want += brute_articles(pages)
+    got = [r.text for r in sorted(run(spark, rows))]
+    assert sum("\n".join(op.divided(op.blocks(h))[0]) != w for (_, _, h), w in zip(rows, want)) > 20
+    assert got == want
