@@ -429,26 +429,31 @@ def _templates(parsed: DataFrame, sought: DataFrame) -> DataFrame:
     asked = sought.filter(F.size("_runs") > 0).select("_host", F.explode("_runs").alias("run")).groupBy("_host").agg(F.collect_set("run").alias("_runs"))
     asked = stored(asked.select(F.col("_host").alias("_asked"), "_runs"), "template-asked")
     kept = F.transform(F.filter(F.arrays_zip("blocks", "chrome"), lambda b: ~b["chrome"]), lambda b: b["blocks"])
-    texts = parsed.join(sent(asked.select("_asked"), most=MOST_BROADCAST), F.col("_host") == F.col("_asked"), "left_semi").select("_host", F.array_join(kept, " ").alias("text"))
-    texts = stored(texts.withColumn("_page", F.xxhash64("_host", "text")).dropDuplicates(["_page"]), "template-pages")
-    families = near_copies(texts.select(F.col("_page").alias("doc_id"), "text"), size=RUN_TOKENS).select(F.col("doc_id").alias("_of_page"), F.col("component_id").alias("family"))
-    pages = stored(texts.join(families, F.col("_page") == F.col("_of_page")).select("_host", "family", "text"), "template-families")
+    texts = parsed.select("_host", F.array_join(kept, " ").alias("text")).withColumn("page", F.xxhash64("_host", "text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, BATCH) for b in batches for k in range(0, b.num_rows, BATCH)):
             out = []
-            for host, family, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(host, family, h) for h in set(windows(text.split())) & set(runs)]
+            for host, page, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(host, page, h) for h in set(windows(text.split())) & set(runs)]
             columns = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "family", "run"])
-
-    joined = pages.join(asked, F.col("_host") == F.col("_asked")).select("_host", "family", "text", "_runs")
-    # a row for each family, with its pages counted on the map side
-    held = joined.mapInArrow(of, "host string, family bigint, run bigint").groupBy("host", "run", "family").agg(F.count(F.lit(1)).alias("pages"))
-    held = held.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("families"))
-    of_host = pages.groupBy("_host", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("_host").agg(F.sum("n").alias("all_pages"), F.count(F.lit(1)).alias("all_families"))
-    common = (F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages") - 1e-9) & (F.col("families") >= F.greatest(F.lit(TEMPLATE_FAMILIES), TEMPLATE_SHARE * F.col("all_families") - 1e-9))
-    found = held.join(of_host, F.col("host") == F.col("_host")).filter(common)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["host", "page", "run"])
+
+    asking = texts.join(sent(asked, most=MOST_BROADCAST), F.col("_host") == F.col("_asked")).select("_host", "page", "text", "_runs")
+    held = stored(asking.mapInArrow(of, "host string, page bigint, run bigint").distinct(), "template-holders")
+    pages = texts.select("_host", "page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("of_all"))
+    enough = F.col("n") >= F.greatest(F.lit(TEMPLATE_FAMILIES), TEMPLATE_SHARE * F.col("of_all") - 1e-9)
+    found = held.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(pages, F.col("host") == F.col("_host")).filter(enough)
+    found = stored(found.select(F.col("host").alias("_of"), F.col("run").alias("_run")), "template-of-pages")
+    if found.isEmpty():
+        return found.select(F.col("_of").alias("_templated"), F.array("_run").alias("_template"))
+    # families are sought where pages alone make a template
+    texts = texts.join(sent(stored(found.select("_of").distinct(), "template-seekers"), most=MOST_BROADCAST), F.col("_host") == F.col("_of"), "left_semi")
+    family = near_copies(texts.select(F.col("page").alias("doc_id"), "text"), size=RUN_TOKENS).select(F.col("doc_id").alias("_page"), F.col("component_id").alias("family")).distinct()
+    family = stored(family, "template-families")
+    held = held.join(found, (F.col("host") == F.col("_of")) & (F.col("run") == F.col("_run")), "left_semi").join(family, F.col("page") == F.col("_page"))
+    of_host = texts.select("_host", "page").distinct().join(family, F.col("page") == F.col("_page")).select("_host", "family").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("of_all"))
+    found = held.select("host", "run", "family").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(of_host, F.col("host") == F.col("_host")).filter(enough)
     return stored(found.groupBy(F.col("host").alias("_templated")).agg(F.collect_set("run").alias("_template")), "templates")
 
 
