@@ -143,3 +143,32 @@ def test_points_of_one_place_are_tested_once(spark):
     assert found.columns == ["point", "x", "y", "polygon"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [_x#" in plan and plan.index("lambdafunction") < plan.index("Aggregate [_x#")
+
+
+def test_cover_of_polygons_is_not_broadcast(spark):
+    """The planner takes the cells of a polygon for no more than the polygon, so a small table of polygons must not be sent to the driver."""
+    points = spark.range(2_000).selectExpr("id AS point", "id * 37 % 1009 + 0.0D AS x", "id * 91 % 997 + 0.0D AS y")
+    polygons = spark.range(20).selectExpr("id AS polygon", "array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', 899.5D, 'y', 0.0D), named_struct('x', 0.0D, 'y', 899.5D)) AS outline")
+    found = points_in_polygons(points, polygons, 64.0)
+    assert found.count() == 20 * spark.createDataFrame(points.collect()).filter("x + y < 900").count()
+    for plan in (found._jdf.queryExecution().executedPlan().toString(), found.groupBy("polygon").count()._jdf.queryExecution().executedPlan().toString()):
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_many_places_and_polygons_of_one_cell(spark):
+    """More places than are tested together, more edges than a worker holds at once, and polygons with several columns or none."""
+    draw = random.Random(9)
+    near = lambda n: [(draw.uniform(0, 99), draw.uniform(0, 99)) for _ in range(n)]
+    polygons = [(k, None if k % 3 else f"n{k}", [dict(zip("xy", v)) for v in near(12)]) for k in range(500)]
+    points = [(k, *v) for k, v in enumerate(near(600))] + [(900, float("nan"), 1.0), (901, 1.0, None)]
+    p = spark.createDataFrame(points, "point int, x double, y double")
+    q = spark.createDataFrame(polygons, "polygon int, name string, outline array<struct<x: double, y: double>>")
+    both = p.crossJoin(q).filter(G.contains(F.col("outline"), F.col("x"), F.col("y"))).select("point", "polygon", "name")
+    want = sorted(map(tuple, both.collect()), key=repr)
+    found = points_in_polygons(p, q, 1000.0)
+    assert found.columns == ["point", "x", "y", "polygon", "name"]
+    assert sorted(map(tuple, found.select("point", "polygon", "name").collect()), key=repr) == want and len(want) > 10_000
+    bare = points_in_polygons(p, q.select("outline"), 1000.0)
+    assert bare.columns == ["point", "x", "y"] and sorted(r.point for r in bare.collect()) == sorted(w[0] for w in want)
+    whole = spark.createDataFrame([(7, [dict(x=-9.0, y=-9.0), dict(x=9.0, y=-9.0), dict(x=9.0, y=9.0), dict(x=-9.0, y=9.0)])], "polygon int, outline array<struct<x: double, y: double>>")
+    assert sorted(r.point for r in points_in_polygons(p, whole, 0.5).collect()) == sorted(k for k, x, y in points if y is not None and x < 9 and y < 9)
