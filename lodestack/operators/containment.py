@@ -133,8 +133,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: s
 
     Places (distinct x, y) and polygons meet by equality of grid cells; there is no nested loop, and a place meets only the polygons of its own cell. Places of a cell are tested together, TOGETHER at most.
     Where a polygon covers a cell whole no test is made. Points get the lists of their place's polygons by equality, so points that share a place cost no tests of their own. Both joins are by shuffles:
-    the planner takes a cover for no larger than its polygons, and would broadcast it by way of the driver's memory. A cell with many points is one key, which adaptive execution splits; smaller
-    cells split it, too. Points without coordinates (null or NaN) and polygons of fewer than three vertices contain nothing; repeated rows of either side give repeated rows.
+    the planner takes a cover for no larger than its polygons, and would broadcast it by way of the driver's memory. A cell is one key, so one with many distinct places is tested by one task
+    unless it is large enough for adaptive execution to split; smaller cells split it. Points without coordinates (null or NaN) and polygons of fewer than three vertices contain nothing; repeated rows of either side give repeated rows.
     """
     of = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
     names = [c for c in polygons.columns if c != outline]
